@@ -109,7 +109,8 @@ def plan(rows: DataFrame, block: int = BLOCK, seed: int = 0) -> tuple[DataFrame,
 def uses(pieces: DataFrame, drawn: DataFrame) -> DataFrame:
     """Each piece with the number of slots that took its block."""
     per = drawn.groupBy("source", "block").agg(F.count("*").alias("uses")).withColumnRenamed("block", "b_")
-    return pieces.join(per, (pieces.block == per.b_) & pieces.s_.eqNullSafe(per.source)).drop("b_", "source")
+    # a broadcast would be chosen for the few rows that slots are made from, but slots grow with the words
+    return pieces.join(per.hint("merge"), (pieces.block == per.b_) & pieces.s_.eqNullSafe(per.source)).drop("b_", "source")
 
 
 def manifest(docs: DataFrame, block: int = BLOCK, seed: int = 0) -> DataFrame:
@@ -118,7 +119,7 @@ def manifest(docs: DataFrame, block: int = BLOCK, seed: int = 0) -> DataFrame:
     own = placed.select("doc_id", F.col("source").alias("o_"), F.col("start").alias("at_"), F.col("size").alias("n_")).filter("n_ > 0")
     held = pieces.join(own, pieces.s_.eqNullSafe(own.o_) & (pieces.start == own.at_)).drop("o_", "at_", "n_").withColumnRenamed("block", "b_")
     first = F.greatest(F.lit(0), F.col("b_") * block - F.col("start"))
-    return drawn.join(held, (drawn.block == held.b_) & drawn.source.eqNullSafe(held.s_)).select("shard", "source", "slot", "block", "doc_id", first.alias("first"), "length")
+    return drawn.join(held.hint("merge"), (drawn.block == held.b_) & drawn.source.eqNullSafe(held.s_)).select("shard", "source", "slot", "block", "doc_id", first.alias("first"), "length")
 
 
 def n_words():
@@ -128,7 +129,7 @@ def n_words():
 def query(docs: DataFrame) -> DataFrame:
     placed, pieces, drawn = plan(docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words().alias("size")))
     got = uses(pieces, drawn).groupBy("s_", "start").agg(F.sum(F.col("length") * F.col("uses")).alias("took")).withColumnRenamed("start", "at_")
-    out = placed.join(got, placed.source.eqNullSafe(got.s_) & (placed.start == got.at_) & (placed["size"] > 0), "left")
+    out = placed.join(got.hint("merge"), placed.source.eqNullSafe(got.s_) & (placed.start == got.at_) & (placed["size"] > 0), "left")
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("took", F.lit(0)).cast("long").alias("taken"))
 
 
@@ -142,7 +143,7 @@ def mix_documents(docs: DataFrame, block: int = BLOCK, seed: int = 0) -> DataFra
     placed, pieces, drawn = plan(wide, block, seed)
     took = uses(pieces, drawn).groupBy("s_", "start").agg(F.collect_list(F.struct("block", "uses")).alias("took")).withColumnRenamed("start", "at_")
     took = took.withColumn("took", F.transform("took", lambda x: x.block * (MOST + 1) + F.least(x.uses, F.lit(MOST))))
-    rows = placed.filter("size > 0").join(took, placed.source.eqNullSafe(took.s_) & (placed.start == took.at_)).select("start", "size", "took", *names.values())
+    rows = placed.filter("size > 0").join(took.hint("merge"), placed.source.eqNullSafe(took.s_) & (placed.start == took.at_)).select("start", "size", "took", *names.values())
     at = {x: i + 3 for i, x in enumerate(docs.columns)}
     kinds = docs.schema
 
