@@ -6,7 +6,10 @@ import importlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
 
 from . import kernels
 from .symbols import overlap_merge, prefix_match
@@ -51,16 +54,14 @@ def load(path: str):
 
 def register(spark: SparkSession) -> None:
     """Make the alignment methods, with their default arguments, SQL functions of (q, c, q shares, c shares)."""
-    import numpy as np
-    import pandas as pd
-    from pyspark.sql import functions as F
-
     defaults = {"trace_sim": (), "brodie": (2.5,), "damerau": (1.0, 1.0, 1.0, 1.0, True), "optimal_alignment": (1.0, 1.0, 1.0), "position_dependent": (1.0, 1.0)}
-    for name, args in defaults.items():
-        of = kernels.METHODS[name]
 
+    def made(of, args):
         @F.pandas_udf("double")
-        def score(q: pd.Series, c: pd.Series, qw: pd.Series, cw: pd.Series, of=of, args=args) -> pd.Series:
+        def score(q: pd.Series, c: pd.Series, qw: pd.Series, cw: pd.Series) -> pd.Series:
             return pd.Series(np.asarray(of(kernels.Batch(q.tolist(), c.tolist(), qw.tolist(), cw.tolist()), *args)))
 
-        spark.udf.register(name, score)
+        return score
+
+    for name, args in defaults.items():
+        spark.udf.register(name, made(kernels.METHODS[name], args))

@@ -94,10 +94,10 @@ def reports_from(raw: DataFrame, remove_recursion: bool, trim: int) -> tuple[Dat
 
 def read_split(spark: SparkSession, path: str) -> DataFrame:
     """(bug_id, is_duplicate) of a file of three lines: a title, ids, ids of duplicates."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.split("value", "\n").alias("x"))
+    lines = spark.read.text(path, wholetext=True).select(F.split("value", "\n").alias("x"))
     ids = lambda i: F.filter(F.split(F.coalesce(F.get("x", F.lit(i)), F.lit("")), r"\s+"), lambda v: v != "")
-    all_ = lines.select(F.explode(ids(1)).cast("long").alias("bug_id"))
-    dups = lines.select(F.explode(ids(2)).cast("long").alias("dup")).distinct()
+    all_ = lines.select(F.explode(F.transform(ids(1), lambda v: v.cast("long"))).alias("bug_id"))
+    dups = lines.select(F.explode(F.transform(ids(2), lambda v: v.cast("long"))).alias("dup")).distinct()
     return all_.join(dups, all_.bug_id == dups.dup, "left").select("bug_id", F.col("dup").isNotNull().alias("is_duplicate"))
 
 
