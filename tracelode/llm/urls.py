@@ -109,10 +109,10 @@ def oracle() -> str:
     own = "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{v}'" for h, p, v in order) + " END"
     rules = ", ".join(f"('{r.pattern}')" for r in PATTERN_RULES)
     return f"""
-    WITH u AS (SELECT page_id, url, CASE WHEN contains(url, '://') THEN position('://' IN url) + 3 END AS at FROM pages),
-    s AS (SELECT page_id, url, CASE WHEN at IS NULL THEN '' ELSE regexp_extract(substr(url, at), '^[^/?#]*') END AS h0, at FROM u),
-    p AS (SELECT page_id, url, at, translate(h0, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-      CASE WHEN at IS NULL THEN '' ELSE regexp_extract(substr(url, at + length(h0)), '^[^?#]*') END AS path FROM s),
-    j AS (SELECT page_id, host, path, at, {name} AS rule, {own} AS own, translate(url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM p),
-    m AS (SELECT j.*, (SELECT min(r.p) FROM (VALUES {rules}) r(p) WHERE j.own IS NULL AND at IS NOT NULL AND regexp_matches(j.low, r.p)) AS pattern FROM j)
+    WITH u AS (SELECT page_id, url, CASE WHEN contains(url, '://') THEN position('://' IN url) + 3 END AS begin_at FROM pages),
+    s AS (SELECT page_id, url, CASE WHEN begin_at IS NULL THEN '' ELSE regexp_extract(substr(url, begin_at), '^[^/?#]*') END AS h0, begin_at FROM u),
+    p AS (SELECT page_id, url, begin_at, translate(h0, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+      CASE WHEN begin_at IS NULL THEN '' ELSE regexp_extract(substr(url, begin_at + length(h0)), '^[^?#]*') END AS path FROM s),
+    j AS (SELECT page_id, host, path, begin_at, {name} AS rule, {own} AS own, translate(url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM p),
+    m AS (SELECT j.*, (SELECT min(r.p) FROM (VALUES {rules}) r(p) WHERE j.own IS NULL AND begin_at IS NOT NULL AND regexp_matches(j.low, r.p)) AS pattern FROM j)
     SELECT page_id, host, path, rule, coalesce(own, CASE WHEN pattern IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, pattern FROM m"""
