@@ -49,12 +49,13 @@ def features(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("words", F.filter(F.split("text", f"[{BLANK}]+"), lambda w: w != ""))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(f"[^{BLANK}]"))
-    rows = rows.withColumns({"n_words": F.size("words"), "hashes": F.transform("words", lambda w: F.xxhash64(w)), "lines": lines, "plain": F.transform("words", lambda w: F.lower(F.regexp_replace(w, r"[.,;:!?]+$", "")))})
+    rows = rows.withColumns({"n_words": F.size("words"), "hashes": F.transform("words", lambda w: F.xxhash64(w)), "lines": lines})
     window = lambda i: F.xxhash64(*[F.get("hashes", i + k) for k in range(WINDOW)])
-    hits = F.filter("plain", lambda w: w.isin(COMMON))
+    plain = lambda w: F.lower(F.rtrim(w, F.lit(".,;:!?")))
+    hits = F.filter("words", lambda w: plain(w).isin(COMMON))
     made = {
         "windows": F.when(F.col("n_words") >= WINDOW, F.transform(F.sequence(F.lit(0), F.col("n_words") - WINDOW), window)),
-        "codes": F.array_join(F.transform(hits, lambda w: F.substring(F.lit(CODES), F.array_position(F.array(*map(F.lit, COMMON)), w).cast("int"), F.lit(1))), ""),
+        "codes": F.array_join(F.transform(hits, lambda w: F.substring(F.lit(CODES), F.array_position(F.array(*map(F.lit, COMMON)), plain(w)).cast("int"), F.lit(1))), ""),
         "n_dup_lines": F.size("lines") - F.size(F.array_distinct("lines")),
         "n_chars_": F.length("text"),
         "n_symbols": counted(F.col("text"), "[^#*$%&|<>]+"),
