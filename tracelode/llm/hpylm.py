@@ -241,7 +241,7 @@ def encoded(docs: DataFrame, chunk_bytes: int) -> DataFrame:
             for at in range(0, n, 50_000):
                 yield out.slice(at, 50_000)
 
-        for batch in batches:
+        for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):  # few texts at a time as Python objects
             for doc, train, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), byte_list(batch.column(2))):
                 ws = (text or b"").lower().split()
                 ws.append(b"")  # the end
