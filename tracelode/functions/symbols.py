@@ -121,3 +121,14 @@ def overlap_merge(q: Column, c: Column) -> Column:
     n = F.least(F.size(q), F.size(c))
     walked = F.aggregate(F.sequence(F.lit(1), F.size(q) + F.size(c)), state, step)
     return F.when(n > 0, walked["e"] / n).otherwise(0.0)
+
+
+def report_time(epoch: Column) -> Column:
+    """Seconds since the epoch as a timestamp; the present where missing or zero."""
+    return F.when(F.coalesce(epoch, F.lit(0)) != 0, F.timestamp_seconds(epoch)).otherwise(F.current_timestamp())
+
+
+def thread_numbers(depths: Column) -> Column:
+    """Which thread each frame is of, from 0: a new one starts wherever the depth decreases."""
+    drops = F.transform(depths, lambda d, i: F.when((i > 0) & (d < F.get(depths, i - 1)), 1).otherwise(0))
+    return F.transform(drops, lambda d, i: F.aggregate(F.slice(drops, F.lit(1), i + 1), F.lit(0), lambda a, x: a + x))
