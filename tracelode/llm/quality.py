@@ -109,3 +109,29 @@ def judge(docs: DataFrame, min_words: int = MIN_WORDS, class_limit: float = CLAS
 
 def query(docs: DataFrame) -> DataFrame:
     return judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("class_divergence", 9).alias("class_divergence"), F.round("word_divergence", 9).alias("word_divergence"))
+
+
+def oracle() -> str:
+    """The same for DuckDB: words, windows and histogram bins as rows."""
+    word, common = f"[^{BLANK}]+", ", ".join(f"'{w}'" for w in COMMON)
+    left = lambda others: "length(regexp_replace(text, '" + others.replace("'", "''") + "', '', 'g'))"
+    classes = ", ".join(f"{left(c)} AS k{i}" for i, c in enumerate(CLASSES))
+    kinds = [f"k{i}" for i in range(len(CLASSES))]
+    bins = " UNION ALL ".join([f"SELECT id, 'a' AS kind, {i} AS bin, {k} AS c FROM f" for i, k in enumerate(kinds)] + [f"SELECT id, 'a', {len(kinds)}, chars - {' - '.join(kinds)} FROM f"])
+    return f"""
+    WITH d AS (SELECT row_number() OVER () AS id, doc_id, CASE WHEN EXISTS (SELECT 1 FROM documents WHERE lang IS NOT NULL) THEN lang ELSE 'all' END AS lang, coalesce(text, '') AS text FROM documents),
+    f AS (SELECT id, doc_id, lang, regexp_extract_all(text, '{word}') AS words, length(text) AS chars, {left("[^#*$%&|<>]+")} AS n_symbols, {classes}, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{word}')) AS lines FROM d),
+    wn AS (SELECT id, i, array_to_string(words[i:i + {WINDOW - 1}], ' ') AS w FROM (SELECT id, words, unnest(range(1, len(words) - {WINDOW - 2})) AS i FROM f)),
+    sp AS (SELECT id, i FROM (SELECT *, count(*) OVER (PARTITION BY id, w) AS n FROM wn) WHERE n > 1),
+    rp AS (SELECT id, sum(least({WINDOW}, coalesce(nxt - i, {WINDOW}))) AS n FROM (SELECT *, lead(i) OVER (PARTITION BY id ORDER BY i) AS nxt FROM sp) GROUP BY id),
+    cw AS (SELECT id, lower(rtrim(w, '.,;:!?')) AS w, count(*) AS c FROM (SELECT id, unnest(words) AS w FROM f) GROUP BY ALL),
+    cb AS (SELECT id, coalesce(list_position([{common}], w), 0) AS bin, sum(c) AS c FROM cw GROUP BY ALL),
+    h AS ({bins} UNION ALL SELECT f.id, 'b', b.bin, coalesce(cb.c, 0) FROM f CROSS JOIN (SELECT unnest(range(0, {len(COMMON) + 1})) AS bin) b LEFT JOIN cb ON cb.id = f.id AND cb.bin = b.bin),
+    hp AS (SELECT id, kind, bin, c / nullif(sum(c) OVER (PARTITION BY id, kind), 0) AS p FROM h),
+    rs AS (SELECT lang, kind, bin, sum(c) AS c FROM h JOIN f USING (id) WHERE lang IS NOT NULL GROUP BY ALL),
+    rf AS (SELECT lang, kind, bin, c / sum(c) OVER (PARTITION BY lang, kind) AS q FROM rs WHERE lang IN (SELECT lang FROM (SELECT lang, kind, sum(c) AS c FROM rs GROUP BY ALL) GROUP BY lang HAVING min(c) > 0)),
+    js AS (SELECT id, kind, lang, sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2 AS v FROM hp JOIN rf USING (kind, bin) WHERE p IS NOT NULL GROUP BY ALL),
+    dv AS (SELECT id, min(v) FILTER (kind = 'a') AS a, min(v) FILTER (kind = 'b') AS b FROM js GROUP BY id),
+    o AS (SELECT doc_id, len(words) AS n_words, chars - k2 AS word_chars, n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, CAST(coalesce(rp.n, 0) AS BIGINT) AS n_repeat_words, coalesce(a, 0.0) AS a, coalesce(b, 0.0) AS b FROM f LEFT JOIN rp USING (id) LEFT JOIN dv USING (id))
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+      NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND NOT (n_words >= {MIN_WORDS} AND (a > {CLASS_LIMIT} OR b > {WORD_LIMIT})) AS kept, round(a, 9) AS class_divergence, round(b, 9) AS word_divergence FROM o"""

@@ -17,4 +17,4 @@ QUERIES = {
     "op9_packing": lambda s, d: packing.query(table(s, d, "documents")),
     "op10_hpylm": lambda s, d: hpylm.query(table(s, d, "documents")),
 }
-ORACLE_SQL = {"op3_url_filters": urls.oracle()}
+ORACLE_SQL = {"op3_url_filters": urls.oracle(), "op8_quality_rules": quality.oracle()}
