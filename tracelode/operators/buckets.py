@@ -33,6 +33,17 @@ def resolve(links: DataFrame) -> DataFrame:
     return grouped.select("bug_id", oldest.alias("bucket_id"))
 
 
+def duplicates(links: DataFrame) -> DataFrame:
+    """Links (bug_id, dup_id, ...) whose target is a report itself."""
+    known = links.select(F.col("bug_id").alias("known_")).distinct()
+    return links.join(known, F.col("dup_id") == F.col("known_"), "left_semi")
+
+
+def originals(links: DataFrame) -> DataFrame:
+    """Reports that name no other."""
+    return links.filter(F.col("dup_id").isNull())
+
+
 def members(resolved: DataFrame) -> DataFrame:
     return resolved.groupBy("bucket_id").agg(F.sort_array(F.collect_set("bug_id")).alias("members"))
 

@@ -9,7 +9,8 @@ from ..functions import registry, symbols
 from ..functions.recursion import fold_runs, remove_recursion
 from ..operators import buckets, candidates, knn, scoring, vocabulary
 from ..streaming import progressive
-from . import search
+from ..sources import reports
+from . import neural, search
 from .corpora import ACCOUNTS_SQL, BASKETS_SQL, BLOCKED_SQL, LINKS_SQL, NAMED_SQL, PAIRS_SQL, RANKS_SQL, account_pairs, accounts, baskets, encoded, links, named, table
 
 QUERIES: dict = {}
@@ -502,3 +503,101 @@ def param_grid_eval(spark, d):
     params = search.relation(spark, [{"penalty": g} for g in GRID])
     scored = rows.crossJoin(F.broadcast(params)).withColumn("score", F.round(F.col("score") - F.col("penalty") * (F.col("length") / 100), 9))
     return search.evaluate(scored).select("param_id", F.round("mrr", 9).alias("mrr"))
+
+
+# --- frames, stacks and reports: the remaining projections and filters
+
+
+@query("WITH e AS (SELECT user_id, ts, CAST(floor(value / 10) AS BIGINT) AS depth FROM events), g AS (SELECT *, CASE WHEN depth < lag(depth) OVER (PARTITION BY user_id ORDER BY ts) THEN 1 ELSE 0 END AS cut FROM e), n AS (SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY ts) AS t FROM g) SELECT user_id, string_agg(CAST(t AS BIGINT), ' ' ORDER BY ts) AS threads FROM n GROUP BY user_id")
+def threads_split(spark, d):
+    """Frames of a list belong to a new thread wherever the depth falls."""
+    rows = table(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", F.floor(F.col("value") / 10).alias("depth"))))["depth"].alias("depths"))
+    return rows.select("user_id", joined(symbols.thread_numbers(F.col("depths"))).alias("threads"))
+
+
+@query("SELECT o_orderkey AS report, strftime(make_timestamp(CAST(epoch(o_orderdate) AS BIGINT) * 1000000), '%Y-%m-%d %H:%M:%S') AS at FROM orders WHERE epoch(o_orderdate) <> 0")
+def report_times(spark, d):
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("report"), F.unix_timestamp("o_orderdate").alias("ts")).filter("ts <> 0")
+    return rows.select("report", F.date_format(symbols.report_time(F.col("ts")), "yyyy-MM-dd HH:mm:ss").alias("at"))
+
+
+@query(f"WITH RECURSIVE {LINKS_SQL} SELECT bug_id, dup_id FROM lk WHERE dup_id IN (SELECT bug_id FROM lk)")
+def duplicates_known(spark, d):
+    return buckets.duplicates(links(spark, d)).select("bug_id", "dup_id")
+
+
+@query(f"WITH RECURSIVE {LINKS_SQL} SELECT bug_id FROM lk WHERE dup_id IS NULL")
+def originals(spark, d):
+    return buckets.originals(links(spark, d)).select("bug_id")
+
+
+@query(f"WITH {STACKS_SQL}, u AS (SELECT report, array_to_string(frames, ' ') AS f, min({{'a': ts, 'b': stack}}) AS k FROM sk GROUP BY ALL) SELECT report, string_agg(f, ' | ' ORDER BY k) AS stacks FROM u GROUP BY report")
+def stacks_first_of_equal(spark, d):
+    rows = account_stacks(spark, d).groupBy("report").agg(F.array_sort(F.collect_list(F.struct("ts", "stack", "frames")))["frames"].alias("stacks"))
+    return rows.select("report", F.array_join(F.transform(symbols.first_of_equal(F.col("stacks")), joined), " | ").alias("stacks"))
+
+
+@query(f"WITH {BASKETS_SQL} SELECT report, array_to_string(list_transform(frames, lambda x: CASE WHEN x = 'Brand#11' THEN 'Brand#11' || CAST(report AS VARCHAR) || '!' ELSE x END), ' ') AS frames FROM fs")
+def unknown_masked(spark, d):
+    """An unknown symbol is made the report's own, so that it equals none of another report."""
+    own = F.concat(F.col("report").cast("string"), F.lit("!"))
+    return baskets(spark, d).select("report", joined(symbols.mask_unknown(F.col("frames"), own, "Brand#11")).alias("frames"))
+
+
+@query(f"WITH {BASKETS_SQL} SELECT report, array_to_string(ids[1:4], ' ') AS ids FROM en")
+def encode_depth_limited(spark, d):
+    return encoded(baskets(spark, d)).select("report", joined(F.slice("ids", 1, 4)).alias("ids"))
+
+
+@query(f"WITH {BASKETS_SQL} SELECT symbol, round(df / greatest(n_docs, 1), 6) AS share FROM vo, nd")
+def df_vector(spark, d):
+    rows = baskets(spark, d)
+    n = rows.agg(F.count("*").alias("n"))  # one row
+    return vocabulary.document_frequency(stacks_of(rows)).crossJoin(n).select("symbol", r6(symbols.share(F.col("df"), F.col("n"))).alias("share"))
+
+
+@query(f"WITH {STACKS_SQL}, z AS (SELECT report, ts, stack, array_to_string(list_filter(frames, lambda x: x NOT IN ({STOP_SQL})), ' ') AS f FROM sk) SELECT report, string_agg(f, ' | ' ORDER BY ts, stack) AS stacks FROM z WHERE f <> '' GROUP BY report")
+def strip_report_stacks(spark, d):
+    rows = account_stacks(spark, d).groupBy("report").agg(F.array_sort(F.collect_list(F.struct("ts", "stack", "frames")))["frames"].alias("stacks"))
+    rows = rows.withColumn("stacks", symbols.strip_stacks(F.col("stacks"), lambda x: x.isin(STOP), False)).filter(F.size("stacks") > 0)
+    return rows.select("report", F.array_join(F.transform("stacks", joined), " | ").alias("stacks"))
+
+
+@query(f"WITH {BLOCKED_SQL}, dp AS (SELECT report, ts, CASE WHEN bucket <> report THEN bucket END AS dup FROM bk) SELECT query, cand FROM pb JOIN dp q ON q.report = query JOIN dp c ON c.report = cand WHERE c.ts < q.ts AND NOT (query = cand OR q.dup IS NOT DISTINCT FROM cand OR query IS NOT DISTINCT FROM c.dup OR q.dup IS NOT DISTINCT FROM c.dup)")
+def candidates_not_duplicate(spark, d):
+    rows = baskets(spark, d).withColumn("dup", F.when(F.col("bucket") != F.col("report"), F.col("bucket")))
+    pairs = candidates.prefix_block(rows.select("report", "ts", "bucket", "dup", "frames"))
+    keep = symbols.earlier_and_other(*map(F.col, ("q_ts", "c_ts", "q_report", "q_dup", "c_report", "c_dup")))
+    return pairs.filter(keep).select(F.col("q_report").alias("query"), F.col("c_report").alias("cand"))
+
+
+@query(f"WITH {ACCOUNTS_SQL}, wt AS (SELECT report AS query, stack AS q_idx, list_avg(list_transform(w, lambda x: 1 - x)) AS qw FROM ac), b AS (SELECT query, cand, q_idx, qw, max(score) AS best FROM ms JOIN wt USING (query, q_idx) GROUP BY ALL) SELECT query, cand, round(sum(best * qw) / sum(qw) + 1e-9, 6) AS score FROM b GROUP BY query, cand")
+def agg_weighted_query(spark, d):
+    """Best matches of the query's stacks, weighed by the mean rarity of their frames."""
+    pairs, stacks = account_matrix(spark, d)
+    side = lambda report, s: stacks.select(F.col("report").alias(report), F.col("stack").alias(f"{s}_idx"), F.col("ids").alias(s), symbols.mean_weight(F.col("shares")).alias(f"{s}_w"))
+    matrix = pairs.join(side("query", "q"), "query").join(side("cand", "c"), "cand").withColumn("score", symbols.prefix_match(F.col("q"), F.col("c")))
+    return scoring.aggregate(matrix, ["query", "cand"], "avg_query", weighted=True).select("query", "cand", r6(F.col("score") + 1e-9).alias("score"))
+
+
+@query(f"WITH {RANKS_SQL} SELECT query, cand_pos % 10 AS cand, round(greatest(max(score - 0.3), 0), 6) AS score FROM sb GROUP BY query, cand_pos % 10")
+def best_score_floor(spark, d):
+    return neural.best_floor(block_scores(spark, d).select("query", (F.col("cand_pos") % 10).alias("cand"), (F.col("score") - 0.3).alias("score"))).select("query", "cand", r6("score").alias("score"))
+
+
+@query(f"WITH {BASKETS_SQL}, b AS (SELECT min(ts) AS t FROM bk) SELECT count(*) AS n_reports, CAST(coalesce(sum(CASE WHEN bucket <> report THEN 1 ELSE 0 END), 0) AS BIGINT) AS n_dups FROM bk, b WHERE ts > t + 86400 * 100 AND ts <= t + 86400 * 1000")
+def load_until(spark, d):
+    rows = arrivals(spark, d)
+    t = rows.agg(F.min("ts")).first()[0]
+    return progressive.load_until(rows, t + 86400 * 100, t + 86400 * 1000)
+
+
+@query("SELECT CAST(json_object('n_nationkey', n_nationkey, 'n_name', n_name, 'n_regionkey', n_regionkey) AS VARCHAR) AS value FROM nation")
+def json_log_lines(spark, d):
+    return reports.json_lines(table(spark, d, "nation"), "%(n_nationkey)s %(n_name)s", ("n_regionkey",))
+
+
+@query()
+def triplet_sampling(spark, d):
+    """Seeded draws by hash; tests check that each good one shares the query's bucket and each bad one doesn't."""
+    return neural.triplets(baskets(spark, d).select("report", "ts", "bucket"), 2, earlier=True)
