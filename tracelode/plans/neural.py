@@ -75,9 +75,12 @@ class PairClassifier:
         return cls(kind, rng.standard_normal((n, n // 2)) / np.sqrt(n), np.zeros(n // 2), rng.standard_normal((n // 2, outputs)) / np.sqrt(n), np.zeros(outputs))
 
     def score(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return self.outputs(a, b)[:, -1]
+
+    def outputs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         apart, mean, product = np.abs(a - b), (a + b) / 2, a * b
         x = np.concatenate({1: [apart], 2: [apart, mean], 3: [apart, mean, product], 4: [apart, a, b, product], 5: [apart, a, b, mean, product]}[self.kind], 1)
-        return (np.maximum(x @ self.w1 + self.b1, 0) @ self.w2 + self.b2)[:, -1]
+        return np.maximum(x @ self.w1 + self.b1, 0) @ self.w2 + self.b2
 
 
 def encode(stacks: DataFrame, model: BiLstm, unit: bool = True) -> DataFrame:
