@@ -352,6 +352,20 @@ def test_quality(spark, docs, odd):
     assert quality.query(odd.limit(0)).count() == 0 and quality.query(odd.withColumn("lang", F.lit(None).cast("string"))).count() == odd.count()
 
 
+def test_quality_sql(spark, odd):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF_DIR}/documents.parquet'")
+    same = lambda got, want: sorted(got.astype(str).values.tolist()) == sorted(want[list(got.columns)].astype(str).values.tolist())
+    assert same(result(spark, "op8_quality_rules"), con.sql(queries.ORACLE_SQL["op8_quality_rules"]).df())
+    con.sql("DROP VIEW documents")
+    frame = odd.select("doc_id", "text", F.lit("en").alias("lang")).filter("doc_id is not null").toPandas()
+    con.register("documents", frame)
+    want = con.sql(queries.ORACLE_SQL["op8_quality_rules"]).df()
+    assert same(quality.query(spark.createDataFrame(frame, "doc_id long, text string, lang string")).toPandas(), want)
+
+
 def test_divergence(spark):
     p, q = [3, 1, 0, 6], [0.25, 0.25, 0.5, 0.0]
     a = np.array(p) / sum(p)
