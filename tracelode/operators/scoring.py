@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.symbols import NO_SCORE, max_weight, mean_weight
+from .tables import before
 
 FAR = 99999
 AGGREGATES = ("max", "avg_query", "avg_cand", "avg_short", "avg_long", "avg_query_cand")
@@ -22,10 +23,11 @@ def rarity_threshold(vocab: DataFrame, n_docs, k: float) -> DataFrame:
     """One row: 1 - df at place floor((1 - k) V) among all symbols in ascending order, the unknown symbol among them."""
     if not 0 < k <= 1:
         raise ValueError("k must be above 0 and at most 1")
-    rows = vocab.select((1 - F.col("df") / F.greatest(F.lit(n_docs), F.lit(1))).alias("v")).union(vocab.sparkSession.range(1).select(F.lit(1.0).alias("v")))
-    placed = rows.withColumn("r", F.row_number().over(Window.orderBy("v")) - 1)  # one row per symbol
-    size = rows.agg(F.count("*").alias("n"))
-    return placed.join(size, F.col("r") == F.floor((1 - F.lit(k)) * F.col("n"))).select(F.col("v").alias("threshold"))
+    counts = vocab.groupBy("df").agg(F.count("*").alias("n")).union(vocab.sparkSession.createDataFrame([(0, 1)], "df long, n long"))
+    rows = counts.groupBy((1 - F.col("df") / F.greatest(F.lit(n_docs), F.lit(1))).alias("v")).agg(F.sum("n").alias("n"))  # a row per frequency that occurs
+    upto = rows.withColumn("upto", F.sum("n").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
+    size = rows.agg(F.sum("n").alias("size"))
+    return upto.crossJoin(size).filter(F.col("upto") > F.floor((1 - F.lit(k)) * F.col("size"))).agg(F.min("v").alias("threshold"))
 
 
 def aggregate(matrix: DataFrame, keys: list[str], kind: str, weighted: bool = False) -> DataFrame:
@@ -96,8 +98,8 @@ def rank_metrics(ranks: DataFrame, cuts=(1, 5, 10)) -> DataFrame:
 def auc(ranks: DataFrame) -> DataFrame:
     """Area under the curve of (top_score, top_correct); 0.5 without positives or negatives. Equal scores are counted first."""
     per = ranks.groupBy("top_score").agg(F.sum("top_correct").alias("p"), F.sum(1 - F.col("top_correct")).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy("top_score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = per.withColumn("wins", F.col("p") * (below + F.col("n") / 2)).agg(F.sum("wins").alias("w"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+    placed = before(per, F.floor(F.col("top_score") * 1024), ["top_score"], F.col("n"), "below")
+    sums = placed.withColumn("wins", F.col("p") * (F.col("below") + F.col("n") / 2)).agg(F.sum("wins").alias("w"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     return sums.select(F.coalesce(F.col("w") / F.nullif(F.col("p") * F.col("n"), F.lit(0)), F.lit(0.5)).alias("auc"))
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import DAY, before
+
 
 def occurrences(stacks: DataFrame) -> DataFrame:
     """stacks (doc, ts, frames) -> (doc, ts, pos, symbol)."""
@@ -18,7 +20,7 @@ def register(stacks: DataFrame, known: DataFrame | None = None) -> DataFrame:
     if known is not None:
         first = first.join(known.select("symbol"), "symbol", "left_anti")
         base = known.agg(F.max("id")).first()[0] or 0
-    new = first.select("symbol", (F.row_number().over(Window.orderBy("first")) + base).cast("long").alias("id"))  # one row per symbol
+    new = before(first, F.floor(F.col("first")["ts"] / DAY), ["first"], F.lit(1), "n_").select("symbol", (F.col("n_") + 1 + base).cast("long").alias("id"))
     return new if known is None else known.select("symbol", "id").union(new)
 
 

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.tables import DAY, before
+
 
 def sigmoid(x):
     return 1 / (1 + np.exp(-x))
@@ -124,7 +126,7 @@ def triplets(rows: DataFrame, k: int, seed: int = 0, earlier: bool = False) -> D
     """
     in_bucket, total = Window.partitionBy("bucket").orderBy("ts", "report"), Window.partitionBy("bucket")
     numbered = rows.withColumn("i", F.row_number().over(in_bucket) - 1).withColumn("n", F.count("*").over(total))
-    placed = numbered.withColumn("p", F.row_number().over(Window.orderBy("ts", "report")) - 1)
+    placed = before(numbered, F.floor(F.col("ts") / DAY), ["ts", "report"], F.lit(1), "p")
     size = placed.agg(F.max("p").alias("last")).first()["last"] or 0
     asked = placed.filter("i > 0").select(F.col("report").alias("query"), F.col("bucket").alias("qb"), F.col("i").alias("qi"), F.col("p").alias("qp"), F.explode(F.sequence(F.lit(1), F.lit(k))).alias("draw"))
     pick = lambda salt, n: F.pmod(F.xxhash64("query", "draw", F.lit(seed), F.lit(salt)), n)

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import vocabulary
+from ..operators.tables import DAY, before
 
-DAY = 86400
 SPLITS = (("warmup", 350), ("train", 3850), ("validation", 140), ("test", 700))
 
 
@@ -30,13 +30,9 @@ def chunks(rows: DataFrame, n: int = 50) -> DataFrame:
     """
     total = rows.agg(F.sum(F.col("is_dup").cast("long"))).first()[0] or 0
     step = max(1, total // n)
-    days = rows.groupBy(F.floor(F.col("ts") / DAY).alias("day")).agg(F.sum(F.col("is_dup").cast("long")).alias("d"))
-    before = F.coalesce(F.sum("d").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    base = days.select(F.col("day").alias("day_"), before.alias("base"))  # one row per day
-    placed = rows.withColumn("day", F.floor(F.col("ts") / DAY)).join(base, F.col("day") == F.col("day_"))
-    in_day = F.coalesce(F.sum(F.col("is_dup").cast("long")).over(Window.partitionBy("day").orderBy("ts", "report").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = before(rows, F.floor(F.col("ts") / DAY), ["ts", "report"], F.col("is_dup").cast("long"), "dups_")
     # duplicates strictly before the report, in steps
-    return placed.withColumn("chunk", F.greatest(F.lit(1), F.ceil((F.col("base") + in_day) / step)).cast("long")).drop("day", "day_", "base")
+    return placed.withColumn("chunk", F.greatest(F.lit(1), F.ceil(F.col("dups_") / step)).cast("long")).drop("dups_")
 
 
 def load_until(rows: DataFrame, after: int, ts: int) -> DataFrame:
