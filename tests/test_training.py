@@ -41,3 +41,9 @@ def test_empty(spark):
     m = neural.BiLstm.seeded(5, 3, 2)
     got, _, losses = training.fit(rows, m, epochs=1, batches=1)
     assert not losses and (got.table == m.table).all()
+
+
+def test_earlier_triplets(spark):
+    rows = spark.createDataFrame([(i, i * 50_000, i % 4) for i in range(24)], "report long, ts long, bucket long")
+    got = neural.triplets(rows, 2, earlier=True).collect()
+    assert got and all(r["bad"] < r["query"] and r["query"] % 4 == r["good"] % 4 != r["bad"] % 4 for r in got)
