@@ -1,218 +1,134 @@
 """Text probabilities from a hierarchical Pitman-Yor model with Chinese-restaurant seating sampled by Gibbs.
 
-Symbols are the FREQUENT most counted words, one symbol for every other word, and the end of a text. Each symbol has a context
-restaurant for what follows it; all share the parent restaurant of symbols, whose parent is uniform. Customers are the training
-corpus's symbol pairs: the counts cover all training texts and fill a table of at most (FREQUENT + 2)^2 cells, so seating fits the
-driver at any size. Seating starts with a customer-by-customer deal (for large cells: an even deal over the tables that a
-power of the count makes likely), and each Gibbs sweep reseats customers picked at random, up to MOVES per cell; a table opened or
-closed sends or takes a customer at the parent. Predictive probabilities are averaged over SAMPLES states after BURN sweeps.
-
-A word that is no symbol of its own has the probability of the shared symbol, times that in a restaurant over all such words, whose
-parent is uniform over the distinct words and one for all unknown. It seats words apart from their identity: words of equal count
-are alike, so tables are sampled per count, for counts up to CROWD, and follow the discount's power beyond.
-
-Counts of words meet texts by chunk. A chunk is a run of rows of one input partition, of about CHUNK bytes. One scan writes its texts
-as local word numbers and its distinct words as 64-bit hashes, with their counts; words are summed over chunks by hash, and each
-chunk gets the counts of its own words back. So words cross the cluster once per chunk, texts as numbers, and no vocabulary is
-collected.
-
-Defined cases: null and empty texts are the end alone; without training texts counts are 0, N and V are 0 and predictions uniform;
-repeated rows are scored each and, in training, counted each; a null id is in training; extra columns are ignored.
+Every word of the training texts, and the end of a text, has a context restaurant for what follows it. Context restaurants share
+the parent restaurant of words, whose parent is uniform over the distinct words and one for all unknown. A cell is a pair (context,
+word) with its count of customers over all training texts; there are as many cells as distinct pairs, and nothing about them
+reaches the driver but sums.
+
+Words meet texts by chunk, a run of rows of one input partition of about CHUNK bytes: one scan writes texts as local word numbers and
+a chunk's distinct words as 64-bit hashes with counts; words are summed and numbered by hash, and each chunk gets the numbers and
+counts of its own words back. A chunk then asks, bucket by bucket, for its distinct pairs: bucket (u + w) mod B, so that neither a
+frequent context nor a frequent word gathers in one bucket; B is the number of chunks. A bucket merges the asks into cells.
+
+Seating: in a round, a cell's tables are sampled given the tables of its context and the parent's probability of its word, both as of
+the last round: customers picked at random, up to MOVES a sweep, leave their table and sit at one by its size less the discount, or
+at a new one; after BURN sweeps the numbers of tables are averaged over SAMPLES sweeps. One customer has one table; two are drawn
+from their exact conditional. Of a cell above CROWD customers, CROWD are seated so and the rest are dealt on in doubling blocks with
+Poisson numbers of new tables. Buckets then send tables per context and per word to blocks of words, which seat the parent's
+customers (one for each table below) the same way and answer. After ROUNDS rounds a bucket answers each ask with log10 of the
+predictive probability from the averaged seating, which sums to one over words; a chunk adds these up along its texts.
+
+Messages are sorted numbers as differences, in byte planes under zstandard. With few chunks there is one message for each pair of
+chunk and bucket; with very many, messages shrink towards a row for each of a chunk's pairs, never more.
+
+Defined cases: null and empty texts are the end alone; without training texts counts are 0, N and V are 0 and the one dish is
+certain; repeated rows are scored each and, in training, counted each; a null id is in training; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import math
-import random
-from dataclasses import dataclass, field
-
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_list, held_out, materialize
-
-FREQUENT, CHUNK, CROWD, MOVES, BURN, SAMPLES = 200, 8 << 20, 64, 8, 3, 5
-STRENGTH, PAIR_DISCOUNT = 1.0, 0.4
-NAME_SHARE = 5000  # a chunk gives the letters of words that are at least one in so many of its words: the frequent ones
-
-
-class Restaurant:
-    """Tables per dish; a new table sends a customer to the parent, an emptied one takes it back."""
-
-    def __init__(self, discount: float, strength: float, parent: Restaurant | None, n_dishes: int, rng: random.Random):
-        self.d, self.s, self.parent, self.n_dishes, self.rng = discount, strength, parent, n_dishes, rng
-        self.tables: dict[int, list[int]] = {}
-        self.count: dict[int, int] = {}
-        self.customers = self.n_tables = 0
-
-    def p(self, w: int) -> float:
-        up = self.parent.p(w) if self.parent else 1 / self.n_dishes
-        if not self.customers:
-            return up
-        own = self.count.get(w, 0)
-        return (max(0.0, own - self.d * len(self.tables.get(w, ()))) + (self.s + self.d * self.n_tables) * up) / (self.s + self.customers)
-
-    def add(self, w: int) -> None:
-        sizes = self.tables.setdefault(w, [])
-        own = self.count.get(w, 0)
-        old = own - self.d * len(sizes)
-        new = (self.s + self.d * self.n_tables) * (self.parent.p(w) if self.parent else 1 / self.n_dishes)
-        x = self.rng.random() * (old + new)
-        if own and x < old:
-            for i, n in enumerate(sizes):
-                x -= n - self.d
-                if x < 0:
-                    break
-            sizes[i] += 1
-        else:
-            sizes.append(1)
-            self.n_tables += 1
-            if self.parent:
-                self.parent.add(w)
-        self.count[w] = own + 1
-        self.customers += 1
-
-    def remove(self, w: int) -> None:
-        sizes = self.tables[w]
-        x = self.rng.random() * self.count[w]
-        for i, n in enumerate(sizes):
-            x -= n
-            if x < 0:
-                break
-        sizes[i] -= 1
-        self.count[w] -= 1
-        self.customers -= 1
-        if not sizes[i]:
-            sizes.pop(i)
-            self.n_tables -= 1
-            if self.parent:
-                self.parent.remove(w)
-
-    def seat(self, w: int, n: int) -> None:
-        """Seat n customers of a dish: each by itself if few, else evenly over likely tables."""
-        if n <= 32:
-            for _ in range(n):
-                self.add(w)
-            return
-        k = max(1, round(n**self.d / 2))
-        self.tables[w] = [n // k + (i < n % k) for i in range(k)]
-        self.count[w] = n
-        self.customers += n
-        self.n_tables += k
-        for _ in range(k if self.parent else 0):
-            self.parent.add(w)
-
-    def sweep(self, moves: int) -> None:
-        for w in sorted(self.count):
-            for _ in range(min(self.count[w], moves)):
-                self.remove(w)
-                self.add(w)
-
-
-def pair_model(pairs: dict[tuple[int, int], int], n_symbols: int, seed: int = 0):
-    """Averaged log10 predictive probabilities, a matrix [context, symbol], from counts of symbol pairs."""
+from .common import byte_list, discard, held_out, materialize
+
+CHUNK, BLOCK, CROWD, MOVES, BURN, SAMPLES, ROUNDS = 8 << 20, 1 << 14, 64, 8, 3, 5, 2
+STRENGTH = 1.0
+ASK, WORDS, STATE, PART, REPLY, TOTAL, ANSWER = range(7)
+MESSAGE = "kind int, src long, dst long, a binary, b binary, c binary, d binary, e binary, x double, y double"
+
+
+def shrink(x) -> bytes:
+    """A numpy array as byte planes, compressed."""
     import numpy as np
+    import zstandard
 
-    rng = random.Random(seed)
-    root = Restaurant(PAIR_DISCOUNT, STRENGTH, None, n_symbols, rng)
-    own = {u: Restaurant(PAIR_DISCOUNT, STRENGTH, root, n_symbols, rng) for u in sorted({u for u, _ in pairs})}
-    for (u, w), n in sorted(pairs.items()):
-        own[u].seat(w, n)
-    total = np.zeros((n_symbols, n_symbols))
-    for sweep in range(BURN + SAMPLES):
-        for u in own:
-            own[u].sweep(MOVES)
-        root.sweep(MOVES)
-        if sweep >= BURN:
-            up = np.array([root.p(w) for w in range(n_symbols)])
-            for u in range(n_symbols):
-                r = own.get(u)
-                if r is None:
-                    total[u] += up
-                    continue
-                c, t = np.zeros(n_symbols), np.zeros(n_symbols)
-                for w, n in r.count.items():
-                    c[w], t[w] = n, len(r.tables[w])
-                total[u] += (np.maximum(c - r.d * t, 0) + (r.s + r.d * r.n_tables) * up) / (r.s + r.customers)
-    return np.log10(total / SAMPLES)
-
-
-@dataclass
-class WordModel:
-    """The restaurant of words without a symbol: predictive probability by count."""
-
-    discount: float = 0.5
-    tables: list[float] = field(default_factory=lambda: [0.0])  # expected tables at counts 0 to CROWD
-    n_tables: float = 0.0
-    customers: int = 0
-    n_dishes: int = 1
-
-    def log10(self, counts):
-        import numpy as np
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes())
+
+
+def grow(raw: bytes, kind: str):
+    import numpy as np
+    import zstandard
+
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
+    return np.ascontiguousarray(planes.reshape(size, len(planes) // size).T).view(kind).ravel()
+
+
+def shrink_sorted(x) -> bytes:
+    import numpy as np
+
+    return shrink(np.diff(x, prepend=x.dtype.type(0)).astype(np.int64))
+
+
+def grow_sorted(raw: bytes):
+    return grow(raw, "<i8").cumsum()
+
+
+def messages(rows: list[tuple]) -> pa.Table:
+    """Rows of MESSAGE; what a row doesn't name at its end is null."""
+    kinds = [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 5, pa.float64(), pa.float64()]
+    names = [f.split()[0] for f in MESSAGE.split(", ")]
+    full = [(*r, *[None] * (len(names) - len(r))) for r in rows]
+    return pa.table([pa.array(list(c), k) for c, k in zip(zip(*full) if full else [[]] * len(names), kinds)], names=names)
 
-        c = np.asarray(counts, np.float64)
-        known = np.array(self.tables)
-        last = len(known) - 1
-        t = known[np.minimum(c, last).astype(np.int64)] * np.where(c > last, (np.maximum(c, 1) / max(last, 1)) ** self.discount, 1.0)
-        p = (np.maximum(c - self.discount * t, 0) + (STRENGTH + self.discount * self.n_tables) / self.n_dishes) / (STRENGTH + self.customers)
-        return np.log10(p)
-
-
-def word_model(of_counts: dict[int, int], seed: int = 1) -> WordModel:
-    """From the number of words of each count; tables of a few dishes per count are seated by Gibbs, the total follows from all."""
-    if not of_counts:
-        return WordModel()
-    n1, n2 = of_counts.get(1, 0), of_counts.get(2, 0)
-    m = WordModel(min(0.95, max(0.05, n1 / (n1 + 2 * n2) if n1 else 0.5)))
-    m.customers, m.n_dishes = sum(c * n for c, n in of_counts.items()), sum(of_counts.values()) + 1
-    rng, copies = random.Random(seed), 8
-    seats = {c: [[c] for _ in range(copies)] for c in range(1, CROWD + 1)}
-    last = CROWD
-
-    def total(mean: dict[int, float]) -> float:
-        return sum(n * (mean[c] if c <= last else mean[last] * (c / last) ** m.discount) for c, n in of_counts.items())
-
-    sums = dict.fromkeys(seats, 0.0)
-    mean = {c: float(max(1.0, c**m.discount)) for c in seats}
+
+def seat(n, new, discount: float, rng):
+    """Tables of each cell, summed over SAMPLES sweeps: n customers, `new` the weight of a new table."""
+    import numpy as np
+
+    n, new = np.asarray(n, np.int64), np.asarray(new, np.float64)
+    out = np.where(n > 0, SAMPLES, 0).astype(np.int64)
+    two = np.flatnonzero(n == 2)
+    out[two] += rng.binomial(SAMPLES, new[two] / (1 - discount + new[two]))
+    many = np.flatnonzero(n > 2)
+    many = many[np.argsort(n[many], kind="stable")]
+    seated = np.minimum(n[many], CROWD)
+    for c in np.unique(seated).tolist():
+        lo, hi = np.searchsorted(seated, [c, c + 1])
+        step = max(1, (1 << 20) // c)
+        for at in range(lo, hi, step):
+            own = many[at : min(at + step, hi)]
+            out[own] = sweeps(len(own), c, new[own], discount, rng)
+    at = many[n[many] > CROWD]
+    done = CROWD
+    while len(at):  # the rest of large cells
+        more = np.minimum(n[at] - done, done)
+        rate = new[at] / (done + more / 2 - discount * out[at] / SAMPLES + new[at])
+        out[at] += np.minimum(rng.poisson(SAMPLES * more * rate), SAMPLES * more)
+        done *= 2
+        at = at[n[at] > done]
+    return out
+
+
+def sweeps(cells: int, c: int, new, discount: float, rng):
+    import numpy as np
+
+    sizes, row, total = np.zeros((cells, c), np.int32), np.arange(cells), np.zeros(cells, np.int64)
+    sizes[:, 0] = c
     for sweep in range(BURN + SAMPLES):
-        new = (STRENGTH + m.discount * total(mean)) / m.n_dishes
-        for c, all_ in seats.items():
-            for sizes in all_:
-                for _ in range(c):
-                    x = rng.random() * c
-                    for i, n in enumerate(sizes):
-                        x -= n
-                        if x < 0:
-                            break
-                    sizes[i] -= 1
-                    if not sizes[i]:
-                        sizes.pop(i)
-                    x = rng.random() * (c - 1 - m.discount * len(sizes) + new)
-                    for i, n in enumerate(sizes):
-                        x -= n - m.discount
-                        if x < 0:
-                            sizes[i] += 1
-                            break
-                    else:
-                        sizes.append(1)
-            mean[c] = sum(map(len, all_)) / copies
-            if sweep >= BURN:
-                sums[c] += mean[c] / SAMPLES
-    m.tables = [0.0, *(sums[c] for c in range(1, CROWD + 1))]
-    m.n_tables = total(sums)
-    return m
+        for _ in range(min(c, MOVES)):
+            leave = (sizes.cumsum(1) <= (rng.random(cells) * c)[:, None]).sum(1)
+            sizes[row, leave] -= 1
+            upto = np.where(sizes > 0, sizes - discount, 0.0).cumsum(1)
+            x = rng.random(cells) * (upto[:, -1] + new)
+            to = np.where(x < upto[:, -1], np.minimum((upto <= x[:, None]).sum(1), c - 1), (sizes == 0).argmax(1))
+            sizes[row, to] += 1
+        if sweep >= BURN:
+            total += (sizes > 0).sum(1)
+    return total
 
 
 def encoded(docs: DataFrame, chunk_bytes: int) -> DataFrame:
-    """Rows of two kinds: texts (chunk, doc_id, train, ids) and a chunk's words (chunk, word, local, n, name).
+    """Rows of two kinds: texts (chunk, doc_id, train, ids) and a chunk's words (chunk, word, local, n).
 
     word is the XXH3 hash of the lower-cased word; its first bit is cleared, and -1 stands for the end of a text; n counts training
     texts' tokens only.
     """
-    schema = "chunk long, doc_id long, train boolean, ids binary, word long, local int, n long, name string"
-    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.string()]
+    schema = "chunk long, doc_id long, train boolean, ids binary, word long, local int, n long"
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.int32(), pa.int64()]
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches):
@@ -223,20 +139,17 @@ def encoded(docs: DataFrame, chunk_bytes: int) -> DataFrame:
         seq, held, local, counts, rows = 0, 0, {}, np.zeros(1 << 16, np.int64), []
 
         def texts():
-            cols = [[(part << 24) + seq] * len(rows), *map(list, zip(*rows)), *[[None] * len(rows)] * 4] if rows else [[]] * 8
+            cols = [[(part << 24) + seq] * len(rows), *map(list, zip(*rows)), *[[None] * len(rows)] * 3] if rows else [[]] * 7
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
         def words():
             n = len(local)
             c = counts[:n]
-            least = max(2, int(c.sum()) // NAME_SHARE)
-            name = [w.decode("utf-8", "replace") if k >= least and len(w) <= 64 else None for w, k in zip(local, c.tolist())]
             key = np.fromiter((of(w) >> 1 for w in local), np.int64, n)
             if b"" in local:
                 key[local[b""]] = -1
-                name[local[b""]] = None
             none = pa.nulls(n)
-            cols = [np.full(n, (part << 24) + seq), none, none, none, key, np.arange(n, dtype=np.int32), c, pa.array(name, pa.string())]
+            cols = [np.full(n, (part << 24) + seq), none, none, none, key, np.arange(n, dtype=np.int32), c]
             out = pa.RecordBatch.from_arrays([x.cast(k) if isinstance(x, pa.Array) else pa.array(x, k) for x, k in zip(cols, kinds)], names=names)
             for at in range(0, n, 50_000):
                 yield out.slice(at, 50_000)
@@ -267,73 +180,244 @@ def encoded(docs: DataFrame, chunk_bytes: int) -> DataFrame:
     return docs.select("doc_id", (~held_out(F.col("doc_id"), 7, 2)).alias("train"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def symbol_pairs(docs: DataFrame, symbols: dict[bytes, int]) -> dict[tuple[int, int], int]:
-    """Counts of adjacent symbols over all training texts, at most one per cell of the table."""
-    rare, end, n = len(symbols), len(symbols) + 1, len(symbols) + 2
+def discount_of(once: float, twice: float) -> float:
+    """The usual estimate, from how many cells have one and two customers."""
+    return min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
 
-    def run(batches):
+
+class Layout:
+    """How pairs of word numbers lie in buckets: bucket (u + w) mod n_buckets, key u * width + w // n_buckets, sorted by both."""
+
+    def __init__(self, n_words: int, n_buckets: int):
+        self.n_buckets, self.width = n_buckets, n_words // n_buckets + 1
+        self.span = n_words * self.width
+
+    def full(self, u, w):
+        return (u + w) % self.n_buckets * self.span + u * self.width + w // self.n_buckets
+
+    def pair(self, key, bucket: int):
+        u, high = key // self.width, key % self.width
+        return u, high * self.n_buckets + (bucket - u) % self.n_buckets
+
+
+class Chunk:
+    """A chunk's texts as pairs of word numbers."""
+
+    def __init__(self, texts: pa.Table, word, end: int, layout: Layout):
         import numpy as np
 
-        total = np.zeros(n * n, np.int64)
-        for batch in batches:
-            for text in byte_list(batch.column(0)):
-                ws = (text or b"").lower().split()
-                s = np.fromiter([end, *[symbols.get(w, rare) for w in ws], end], np.int64, len(ws) + 2)
-                total += np.bincount(s[:-1] * n + s[1:], minlength=n * n) if len(ws) > 5000 else 0
-                if len(ws) <= 5000:
-                    np.add.at(total, s[:-1] * n + s[1:], 1)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["cell", "n"])
+        ids = [np.frombuffer(x.as_buffer(), "<u4") for x in texts.column("ids")]
+        self.lengths = np.array([len(x) for x in ids], np.int64)
+        self.starts = self.lengths.cumsum() - self.lengths
+        self.ids = np.concatenate(ids)
+        w = word[self.ids]
+        u = np.concatenate([[end], w[:-1]])
+        u[self.starts] = end
+        self.keys, self.of = np.unique(layout.full(u, w), return_inverse=True)
 
-    train = docs.filter(~held_out(F.col("doc_id"), 7, 2)).select(F.col("text").cast("string"))
-    got = train.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()  # at most (FREQUENT + 2)^2
-    return {divmod(r["cell"], n): r["n"] for r in got}
 
+def ask(layout: Layout, end: int):
+    """Of a chunk's texts and words: the words' numbers and counts for later, and its pairs with counts of training texts."""
+
+    def run(key: tuple, texts: pa.Table, known: pa.Table) -> pa.Table:
+        import numpy as np
+
+        local = known.column("local").to_numpy()
+        word, c = np.zeros(len(local), np.int64), np.zeros(len(local), np.int64)
+        word[local], c[local] = known.column("wid").to_numpy(), known.column("c").to_numpy()
+        chunk = key[0].as_py()
+        rows = [(WORDS, chunk, chunk, shrink(word), shrink(c))]
+        own = Chunk(texts, word, end, layout)
+        train = np.repeat(texts.column("train").to_numpy(zero_copy_only=False).astype(bool), own.lengths)
+        n = np.bincount(own.of[train], minlength=len(own.keys))
+        bucket = own.keys // layout.span
+        cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+        for lo, hi in zip(cuts, [*cuts[1:], len(bucket)]):
+            rows.append((ASK, chunk, int(bucket[lo]), shrink_sorted(own.keys[lo:hi] % layout.span), shrink(n[lo:hi])))
+        return messages(rows)
+
+    return run
+
+
+def parts(bucket: int, u, w, n, t) -> list[tuple]:
+    """A bucket's customers and tables per context and tables per word, to blocks of words."""
+    import numpy as np
 
-def score(docs: DataFrame, frequent: int = FREQUENT, chunk_bytes: int = CHUNK) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row."""
+    us, at_u = np.unique(u, return_inverse=True)
+    ws, at_w = np.unique(w, return_inverse=True)
+    customers, tables, below = np.bincount(at_u, n).astype(np.int64), np.bincount(at_u, t).astype(np.int64), np.bincount(at_w, t).astype(np.int64)
+    rows = []
+    for block in np.union1d(us // BLOCK, ws // BLOCK).tolist():
+        a, b = np.searchsorted(us, [block * BLOCK, (block + 1) * BLOCK])
+        c, d = np.searchsorted(ws, [block * BLOCK, (block + 1) * BLOCK])
+        rows.append((PART, bucket, block, shrink_sorted(us[a:b]), shrink(customers[a:b]), shrink(tables[a:b]), shrink_sorted(ws[c:d]), shrink(below[c:d])))
+    return rows
+
+
+def merge(layout: Layout):
+    """Cells of a bucket from all asks, each first at one table."""
+
+    def run(key: tuple, asks: pa.Table) -> pa.Table:
+        import numpy as np
+
+        keys, of = np.unique(np.concatenate([grow_sorted(x.as_py()) for x in asks.column("a")]), return_inverse=True)
+        n = np.bincount(of, np.concatenate([grow(x.as_py(), "<i8") for x in asks.column("b")])).astype(np.int64)
+        t = np.where(n > 0, SAMPLES, 0)
+        bucket = key[0].as_py()
+        u, w = layout.pair(keys, bucket)
+        return messages([(STATE, bucket, bucket, shrink_sorted(keys), shrink(n), shrink(t), None, None, float((n == 1).sum()), float((n == 2).sum())), *parts(bucket, u, w, n, t)])
+
+    return run
+
+
+def parent(n_dishes: int, discount: float, tables_so_far: float, seed: int):
+    """Seat the parent's customers of a block of words; answer each bucket for its contexts and words."""
+
+    def run(key: tuple, got: pa.Table) -> pa.Table:
+        import numpy as np
+
+        block = key[0].as_py()
+        customers, tables, below = np.zeros(BLOCK, np.int64), np.zeros(BLOCK, np.int64), np.zeros(BLOCK, np.int64)
+        asked = []
+        for src, a, b, c, d, e in zip(*(got.column(x).to_pylist() for x in ("src", "a", "b", "c", "d", "e"))):
+            u, w = grow_sorted(a) - block * BLOCK, grow_sorted(d) - block * BLOCK
+            customers[u] += grow(b, "<i8")
+            tables[u] += grow(c, "<i8")
+            below[w] += grow(e, "<i8")
+            asked.append((src, u, w))
+        mean = below / SAMPLES
+        own = seat(np.ceil(mean), np.full(BLOCK, (STRENGTH + discount * tables_so_far) / n_dishes), discount, np.random.default_rng([seed, block])) / SAMPLES
+        own = np.minimum(own, mean)
+        rest = mean - discount * own
+        rows = [(REPLY, block, src, shrink(customers[u]), shrink(tables[u]), shrink(rest[w].astype("<f8"))) for src, u, w in asked]
+        return messages([*rows, (TOTAL, block, -1, None, None, None, None, None, float(mean.sum()), float(own.sum()))])
+
+    return run
+
+
+class Cells:
+    """A bucket's cells with what the blocks of words answered."""
+
+    def __init__(self, got: pa.Table, bucket: int, layout: Layout, discount: float, up: tuple[float, float, float, int]):
+        import numpy as np
+
+        total, tables, up_discount, n_dishes = up
+        rows = sorted(got.to_pylist(), key=lambda r: (r["kind"], r["src"]))
+        state = next(r for r in rows if r["kind"] == STATE)
+        replies = [r for r in rows if r["kind"] == REPLY]
+        self.asks = [r for r in rows if r["kind"] == ASK]
+        self.keys, self.n, self.t = grow_sorted(state["a"]), grow(state["b"], "<i8"), grow(state["c"], "<i8")
+        self.u, self.w = layout.pair(self.keys, bucket)
+        customers, below, rest = (np.concatenate([grow(r[x], k) for r in replies]) for x, k in (("a", "<i8"), ("b", "<i8"), ("c", "<f8")))
+        at_u, at_w = np.unique(self.u, return_inverse=True)[1], np.unique(self.w, return_inverse=True)[1]
+        p = (rest + (STRENGTH + up_discount * tables) / n_dishes) / (STRENGTH + total)
+        self.new = (STRENGTH + discount * below[at_u] / SAMPLES) * p[at_w]
+        self.customers = customers[at_u]
+
+
+def sample(layout: Layout, discount: float, up: tuple[float, float, float, int], seed: int):
+    """One round of a bucket: its cells' tables anew, and their sums to the blocks of words."""
+
+    def run(key: tuple, got: pa.Table) -> pa.Table:
+        import numpy as np
+
+        bucket = key[0].as_py()
+        own = Cells(got, bucket, layout, discount, up)
+        t = seat(own.n, own.new, discount, np.random.default_rng([seed, bucket]))
+        return messages([(STATE, bucket, bucket, shrink_sorted(own.keys), shrink(own.n), shrink(t)), *parts(bucket, own.u, own.w, own.n, t)])
+
+    return run
+
+
+def answer(layout: Layout, discount: float, up: tuple[float, float, float, int]):
+    """log10 of the predictive probability of each pair asked."""
+
+    def run(key: tuple, got: pa.Table) -> pa.Table:
+        import numpy as np
+
+        bucket = key[0].as_py()
+        own = Cells(got, bucket, layout, discount, up)
+        p = np.log10((own.n - discount * own.t / SAMPLES + own.new) / (STRENGTH + own.customers)).astype("<f4")
+        return messages([(ANSWER, bucket, r["src"], shrink(p[np.searchsorted(own.keys, grow_sorted(r["a"]))])) for r in own.asks])
+
+    return run
+
+
+def score(docs: DataFrame, chunk_bytes: int = CHUNK, discounts: tuple[float, float] | None = None) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row.
+
+    discounts: of contexts and of the parent, in place of the estimates from counts of one and two.
+    """
     coded = materialize(encoded(docs, chunk_bytes), "coded")
-    words = coded.filter("word is not null").select("chunk", "word", "local", "n", "name")
-    sums = materialize(words.groupBy("word").agg(F.sum("n").alias("c"), F.max("name").alias("name")).filter("c > 0"), "counts")
-    of_counts = {r["c"]: (r["v"], r["t"]) for r in sums.groupBy("c").agg(F.count("*").alias("v"), F.sum("c").alias("t")).collect()}  # counts that differ: at most the root of 2 N
-    n_train, n_distinct = sum(t for _, t in of_counts.values()), sum(v for v, _ in of_counts.values())
-    top = sums.filter("name is not null").orderBy(F.desc("c"), "word").limit(frequent).collect()
-    symbols = {r["name"].encode(): i for i, r in enumerate(top)}
-    rest = {c: v for c, (v, _) in of_counts.items()}
-    end = sums.filter("word = -1").select("c").first()
-    for c in [*(r["c"] for r in top), *([end["c"]] if end else [])]:
-        rest[c] -= 1
-    pairs = symbol_pairs(docs, symbols)
-    n_symbols = len(symbols) + 2
-    matrix, others = pair_model(pairs, n_symbols), word_model({c: v for c, v in rest.items() if v})
-    of_word = {r["word"]: i for i, r in enumerate(top)} | {-1: n_symbols - 1}
-
-    known = words.select("chunk", "word", "local").join(sums.select(F.col("word").alias("w_"), "c"), F.col("word") == F.col("w_"), "left")
-    sym = F.element_at(F.create_map(*[x for k, i in of_word.items() for x in (F.lit(k), F.lit(i))]), F.when(F.col("word").isin(list(of_word)), F.col("word")))
-    known = known.select(F.col("chunk").alias("of_"), "local", F.coalesce("c", F.lit(0)).cast("long").alias("c"), F.coalesce(sym, F.lit(n_symbols - 2)).cast("int").alias("sym"))
+    words = coded.filter("word is not null").select("chunk", "word", "local", "n")
+    n_buckets = max(1, words.select("chunk").distinct().count())
+    sums = materialize(numbered(words.groupBy("word").agg(F.sum("n").alias("c")).filter("c > 0")), "counts")
+    of_part = sums.groupBy("part").agg(F.max("row").alias("last"), F.sum("c").alias("t"), F.sum(F.expr("int(c = 1)")).alias("once"), F.sum(F.expr("int(c = 2)")).alias("twice")).orderBy("part").collect()  # a row per partition
+    bases, n_distinct = {}, 0
+    for r in of_part:
+        bases[r["part"]] = n_distinct + 1  # 0 is for all unknown
+        n_distinct += r["last"] + 1
+    n_train = sum(r["t"] for r in of_part)
+    up_discount = discounts[1] if discounts else discount_of(sum(r["once"] for r in of_part), sum(r["twice"] for r in of_part))
+    first = docs.sparkSession.createDataFrame(list(bases.items()), "p_ int, base long")  # a row per partition
+    sums = sums.join(F.broadcast(first), F.col("part") == F.col("p_")).select(F.col("word").alias("w_"), "c", (F.col("base") + F.col("row")).alias("wid"))
+    last = sums.filter("w_ = -1").select("wid").first()
+    end, layout = last["wid"] if last else 0, Layout(n_distinct + 1, n_buckets)
+
+    known = words.select(F.col("chunk").alias("of_"), "word", "local").join(sums, F.col("word") == F.col("w_"), "left")
+    known = known.select("of_", "local", F.coalesce("c", F.lit(0)).cast("long").alias("c"), F.coalesce("wid", F.lit(0)).cast("long").alias("wid"))
     texts = coded.filter("ids is not null").select("chunk", "doc_id", "train", "ids")
+    asked = materialize(texts.groupBy("chunk").cogroup(known.groupBy("of_")).applyInArrow(ask(layout, end), MESSAGE), "asks")
+    asks = asked.filter(F.col("kind") == ASK)
+    state = materialize(asks.groupBy("dst").applyInArrow(merge(layout), MESSAGE), "cells")
+    ones = state.filter(F.col("kind") == STATE).agg(F.sum("x").alias("once"), F.sum("y").alias("twice")).first()
+    discount = discounts[0] if discounts else discount_of(ones["once"] or 0, ones["twice"] or 0)
+
+    def blocks(state: DataFrame, tables: float, seed: int):
+        replies = materialize(state.filter(F.col("kind") == PART).groupBy("dst").applyInArrow(parent(n_distinct + 1, up_discount, tables, seed), MESSAGE), "blocks")
+        total = replies.filter(F.col("kind") == TOTAL).agg(F.sum("x").alias("x"), F.sum("y").alias("y")).first()
+        cells = state.filter(F.col("kind") == STATE).union(replies.filter(F.col("kind") == REPLY))
+        return cells, replies, (total["x"] or 0.0, total["y"] or 0.0, up_discount, n_distinct + 1)
+
+    cells, replies, up = blocks(state, float(n_distinct), 1)
+    for turn in range(ROUNDS):
+        after = materialize(cells.groupBy("dst").applyInArrow(sample(layout, discount, up, 10 + turn), MESSAGE), "cells")
+        discard(state, replies)
+        state = after
+        cells, replies, up = blocks(state, up[1], 2 + turn)
+    answers = cells.union(asks).groupBy("dst").applyInArrow(answer(layout, discount, up), MESSAGE)
+    told = asked.filter(F.col("kind") == WORDS).union(answers).select(F.col("dst").alias("of_"), "kind", "src", "a", "b")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
     def judge(left: pa.Table, right: pa.Table) -> pa.Table:
         import numpy as np
 
-        local = right.column("local").to_numpy()
-        c, sym = np.zeros(len(local), np.int64), np.zeros(len(local), np.int32)
-        c[local], sym[local] = right.column("c").to_numpy(), right.column("sym").to_numpy()
+        rows = sorted(right.to_pylist(), key=lambda r: (r["kind"], r["src"]))
+        word, c = grow(rows[0]["a"], "<i8"), grow(rows[0]["b"], "<i8")
+        own = Chunk(left, word, end, layout)
+        p = np.concatenate([grow(r["a"], "<f4") for r in rows[1:]]).astype(np.float64)
         base = np.log10((c + 1) / (n_train + n_distinct + 1))
-        extra = np.where(sym == n_symbols - 2, others.log10(c), 0.0)
-        out: list[list] = [[] for _ in range(7)]
-        for doc, train, raw in zip(left.column("doc_id").to_pylist(), left.column("train").to_pylist(), left.column("ids")):
-            ids = np.frombuffer(raw.as_buffer(), "<u4")
-            s = sym[ids]
-            before = np.concatenate([[n_symbols - 1], s[:-1]])
-            got = (doc, not train, len(ids), int((c[ids] > 0).sum()), n_train, float(base[ids].sum()), float(matrix[before, s].sum() + extra[ids].sum()))
-            for o, x in zip(out, got):
-                o.append(x)
-        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-        return pa.table([pa.array(o, k) for o, k in zip(out, kinds)], names=[x.split()[0] for x in schema.split(", ")])
-
-    return texts.groupBy("chunk").cogroup(known.groupBy("of_")).applyInArrow(judge, schema)
+        added = [np.add.reduceat(x, own.starts) for x in ((c[own.ids] > 0).astype(np.int64), base[own.ids], p[own.of])]
+        train = left.column("train").to_numpy(zero_copy_only=False).astype(bool)
+        cols = [left.column("doc_id"), pa.array(~train), pa.array(own.lengths), pa.array(added[0]), pa.array(np.full(len(train), n_train, np.int64)), pa.array(added[1]), pa.array(added[2])]
+        return pa.table(cols, names=[x.split()[0] for x in schema.split(", ")])
+
+    return texts.groupBy("chunk").cogroup(told.groupBy("of_")).applyInArrow(judge, schema)
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """Add `part` and `row`: the partition's number and the row's number there."""
+
+    def run(batches):
+        import numpy as np
+
+        part, seen = TaskContext.get().partitionId(), 0
+        for b in batches:
+            n = b.num_rows
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(n, part, np.int32)), pa.array(np.arange(seen, seen + n))], names=[*b.schema.names, "part", "row"])
+            seen += n
+
+    return df.mapInArrow(run, "word long, c long, part int, row long")
 
 
 def query(docs: DataFrame) -> DataFrame:
