@@ -6,8 +6,8 @@ word) with its count of customers over all training texts; there are as many cel
 reaches the driver but sums.
 
 Words meet texts by chunk, a run of rows of one input partition of about CHUNK bytes: one scan writes texts as local word numbers and
-a chunk's distinct words as 64-bit hashes with counts; words are summed and numbered by hash, and each chunk gets the numbers and
-counts of its own words back. A chunk then asks, bucket by bucket, for its distinct pairs: bucket (u + w) mod B, so that neither a
+a chunk's distinct words as sorted 63-bit hashes with counts; words are summed and numbered by buckets of hashes, and each chunk
+gets the numbers and counts of its own words back. A chunk then asks, bucket by bucket, for its distinct pairs: bucket (u + w) mod B, so that neither a
 frequent context nor a frequent word gathers in one bucket; B is the number of chunks. A bucket merges the asks into cells.
 
 Seating: in a round, a cell's tables are sampled given the tables of its context and the parent's probability of its word, both as of
@@ -36,7 +36,7 @@ from .common import byte_list, discard, held_out, materialize
 
 CHUNK, BLOCK, CROWD, MOVES, BURN, SAMPLES, ROUNDS = 8 << 20, 1 << 14, 64, 8, 3, 5, 2
 STRENGTH = 1.0
-ASK, WORDS, STATE, PART, REPLY, TOTAL, ANSWER = range(7)
+TEXTS, LOCAL, SPELLED, KNOWN, COUNTS, ONES, WORDS, ASK, STATE, PART, REPLY, TOTAL, ANSWER = range(13)
 MESSAGE = "kind int, src long, dst long, a binary, b binary, c binary, d binary, e binary, x double, y double"
 
 
@@ -122,14 +122,11 @@ def sweeps(cells: int, c: int, new, discount: float, rng):
 
 
 def encoded(docs: DataFrame, chunk_bytes: int) -> DataFrame:
-    """Rows of two kinds: texts (chunk, doc_id, train, ids) and a chunk's words (chunk, word, local, n).
+    """Messages to a chunk: TEXTS (ids, flags, lengths, local word numbers) and LOCAL (hashes, training counts, place of each number).
 
-    word is the XXH3 hash of the lower-cased word; its first bit is cleared, and -1 stands for the end of a text; n counts training
-    texts' tokens only.
+    Hashes are sorted; a hash is XXH3 of the lower-cased word without its last bit, and 0 stands for the end of a text. Flags: 1 for
+    training, 2 for a null id.
     """
-    schema = "chunk long, doc_id long, train boolean, ids binary, word long, local int, n long"
-    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.int32(), pa.int64()]
-    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches):
         import numpy as np
@@ -139,22 +136,21 @@ def encoded(docs: DataFrame, chunk_bytes: int) -> DataFrame:
         seq, held, local, counts, rows = 0, 0, {}, np.zeros(1 << 16, np.int64), []
 
         def texts():
-            cols = [[(part << 24) + seq] * len(rows), *map(list, zip(*rows)), *[[None] * len(rows)] * 3] if rows else [[]] * 7
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
+            docs, flags, ids = zip(*rows)
+            packed = [np.array([d or 0 for d in docs], np.int64), np.array(flags, np.uint8), np.array([len(x) for x in ids], np.int64), np.concatenate(ids)]
+            return (TEXTS, at(), at(), *map(shrink, packed))
 
         def words():
-            n = len(local)
-            c = counts[:n]
-            key = np.fromiter((of(w) >> 1 for w in local), np.int64, n)
-            if b"" in local:
-                key[local[b""]] = -1
-            none = pa.nulls(n)
-            cols = [np.full(n, (part << 24) + seq), none, none, none, key, np.arange(n, dtype=np.int32), c]
-            out = pa.RecordBatch.from_arrays([x.cast(k) if isinstance(x, pa.Array) else pa.array(x, k) for x, k in zip(cols, kinds)], names=names)
-            for at in range(0, n, 50_000):
-                yield out.slice(at, 50_000)
-
-        for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):  # few texts at a time as Python objects
+            key = np.fromiter((of(w) >> 1 if w else 0 for w in local), np.int64, len(local))
+            order = np.argsort(key, kind="stable")
+            place = np.empty(len(order), np.uint32)
+            place[order] = np.arange(len(order), dtype=np.uint32)
+            return (LOCAL, at(), at(), shrink_sorted(key[order]), shrink(counts[: len(local)][order]), shrink(place))
+
+        def at():
+            return (part << 24) + seq
+
+        for batch in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):  # few texts at a time as Python objects
             for doc, train, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), byte_list(batch.column(2))):
                 ws = (text or b"").lower().split()
                 ws.append(b"")  # the end
@@ -164,20 +160,51 @@ def encoded(docs: DataFrame, chunk_bytes: int) -> DataFrame:
                 if train:
                     c = np.bincount(ids)
                     counts[: len(c)] += c
-                rows.append((doc, train, ids.astype("<u4").tobytes()))
+                rows.append((doc, train + 2 * (doc is None), ids))
                 held += len(text or b"") + 64
-                if len(rows) >= 500 or held >= chunk_bytes:
-                    yield texts()
-                    rows = []
                 if held >= chunk_bytes:
-                    yield from words()
-                    seq, held, local, counts = seq + 1, 0, {}, np.zeros(1 << 16, np.int64)
+                    yield from messages([texts(), words()]).to_batches()
+                    seq, held, local, counts, rows = seq + 1, 0, {}, np.zeros(1 << 16, np.int64), []
         if rows:
-            yield texts()
-        if local:
-            yield from words()
+            yield from messages([texts(), words()]).to_batches()
+
+    return docs.select("doc_id", (~held_out(F.col("doc_id"), 7, 2)).alias("train"), F.col("text").cast("string").alias("text")).mapInArrow(run, MESSAGE)
+
+
+def spell(n_buckets: int):
+    """A chunk's words to buckets of hashes, equal ranges of them."""
+
+    def run(batches):
+        import numpy as np
+
+        edges = np.array([(i << 63) // n_buckets for i in range(1, n_buckets)], np.int64)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                chunk, a, b = (batch.column(x)[i].as_py() for x in ("src", "a", "b"))
+                key, n = grow_sorted(a), grow(b, "<i8")
+                cuts = [0, *np.searchsorted(key, edges).tolist(), len(key)]
+                rows = [(SPELLED, chunk, k, shrink_sorted(key[lo:hi]), shrink(n[lo:hi])) for k, (lo, hi) in enumerate(zip(cuts, cuts[1:])) if hi > lo]
+                yield from messages(rows).to_batches()
+
+    return run
+
 
-    return docs.select("doc_id", (~held_out(F.col("doc_id"), 7, 2)).alias("train"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+def count(key: tuple, got: pa.Table) -> pa.Table:
+    """Sum a bucket's words, number those of training texts from 1 by hash, and tell each chunk numbers and counts of its words."""
+    import numpy as np
+
+    bucket = key[0].as_py()
+    keys = [grow_sorted(x.as_py()) for x in got.column("a")]
+    words, of = np.unique(np.concatenate(keys), return_inverse=True)
+    c = np.bincount(of, np.concatenate([grow(x.as_py(), "<i8") for x in got.column("b")]), len(words)).astype(np.int64)
+    number = np.cumsum(c > 0)
+    rows, at = [], 0
+    for src, k in zip(got.column("src").to_pylist(), keys):
+        own = of[at : at + len(k)]
+        at += len(k)
+        rows.append((KNOWN, bucket, src, shrink_sorted(number[own]), shrink(c[own])))
+    none = [None] * 5
+    return messages([*rows, (COUNTS, bucket, -1, *none, float((c > 0).sum()), float(c.sum())), (ONES, bucket, -1, *none, float((c == 1).sum()), float((c == 2).sum()))])
 
 
 def discount_of(once: float, twice: float) -> float:
@@ -203,13 +230,11 @@ class Layout:
 class Chunk:
     """A chunk's texts as pairs of word numbers."""
 
-    def __init__(self, texts: pa.Table, word, end: int, layout: Layout):
+    def __init__(self, texts: list[dict], word, end: int, layout: Layout):
         import numpy as np
 
-        ids = [np.frombuffer(x.as_buffer(), "<u4") for x in texts.column("ids")]
-        self.lengths = np.array([len(x) for x in ids], np.int64)
+        self.docs, self.flags, self.lengths, self.ids = (np.concatenate([grow(r[x], k) for r in texts]) for x, k in (("a", "<i8"), ("b", "u1"), ("c", "<i8"), ("d", "<u4")))
         self.starts = self.lengths.cumsum() - self.lengths
-        self.ids = np.concatenate(ids)
         w = word[self.ids]
         u = np.concatenate([[end], w[:-1]])
         u[self.starts] = end
@@ -219,16 +244,19 @@ class Chunk:
 def ask(layout: Layout, end: int):
     """Of a chunk's texts and words: the words' numbers and counts for later, and its pairs with counts of training texts."""
 
-    def run(key: tuple, texts: pa.Table, known: pa.Table) -> pa.Table:
+    def run(key: tuple, got: pa.Table) -> pa.Table:
         import numpy as np
 
-        local = known.column("local").to_numpy()
-        word, c = np.zeros(len(local), np.int64), np.zeros(len(local), np.int64)
-        word[local], c[local] = known.column("wid").to_numpy(), known.column("c").to_numpy()
         chunk = key[0].as_py()
+        rows = sorted(got.to_pylist(), key=lambda r: (r["kind"], r["src"]))
+        known = [r for r in rows if r["kind"] == KNOWN]
+        c = np.concatenate([grow(r["b"], "<i8") for r in known])
+        word = np.concatenate([(grow_sorted(r["a"]) - 1) * layout.n_buckets + r["src"] + 1 for r in known])
+        place = next(grow(r["c"], "<u4") for r in rows if r["kind"] == LOCAL)
+        word, c = np.where(c > 0, word, 0)[place], c[place]
+        own = Chunk([r for r in rows if r["kind"] == TEXTS], word, end, layout)
         rows = [(WORDS, chunk, chunk, shrink(word), shrink(c))]
-        own = Chunk(texts, word, end, layout)
-        train = np.repeat(texts.column("train").to_numpy(zero_copy_only=False).astype(bool), own.lengths)
+        train = np.repeat((own.flags & 1).astype(bool), own.lengths)
         n = np.bincount(own.of[train], minlength=len(own.keys))
         bucket = own.keys // layout.span
         cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
@@ -349,25 +377,20 @@ def score(docs: DataFrame, chunk_bytes: int = CHUNK, discounts: tuple[float, flo
     discounts: of contexts and of the parent, in place of the estimates from counts of one and two.
     """
     coded = materialize(encoded(docs, chunk_bytes), "coded")
-    words = coded.filter("word is not null").select("chunk", "word", "local", "n")
-    n_buckets = max(1, words.select("chunk").distinct().count())
-    sums = materialize(numbered(words.groupBy("word").agg(F.sum("n").alias("c")).filter("c > 0")), "counts")
-    of_part = sums.groupBy("part").agg(F.max("row").alias("last"), F.sum("c").alias("t"), F.sum(F.expr("int(c = 1)")).alias("once"), F.sum(F.expr("int(c = 2)")).alias("twice")).orderBy("part").collect()  # a row per partition
-    bases, n_distinct = {}, 0
-    for r in of_part:
-        bases[r["part"]] = n_distinct + 1  # 0 is for all unknown
-        n_distinct += r["last"] + 1
-    n_train = sum(r["t"] for r in of_part)
-    up_discount = discounts[1] if discounts else discount_of(sum(r["once"] for r in of_part), sum(r["twice"] for r in of_part))
-    first = docs.sparkSession.createDataFrame(list(bases.items()), "p_ int, base long")  # a row per partition
-    sums = sums.join(F.broadcast(first), F.col("part") == F.col("p_")).select(F.col("word").alias("w_"), "c", (F.col("base") + F.col("row")).alias("wid"))
-    last = sums.filter("w_ = -1").select("wid").first()
-    end, layout = last["wid"] if last else 0, Layout(n_distinct + 1, n_buckets)
-
-    known = words.select(F.col("chunk").alias("of_"), "word", "local").join(sums, F.col("word") == F.col("w_"), "left")
-    known = known.select("of_", "local", F.coalesce("c", F.lit(0)).cast("long").alias("c"), F.coalesce("wid", F.lit(0)).cast("long").alias("wid"))
-    texts = coded.filter("ids is not null").select("chunk", "doc_id", "train", "ids")
-    asked = materialize(texts.groupBy("chunk").cogroup(known.groupBy("of_")).applyInArrow(ask(layout, end), MESSAGE), "asks")
+    local = coded.filter(F.col("kind") == LOCAL)
+    n_buckets = max(1, local.count())
+    counted = materialize(local.select("src", "a", "b").mapInArrow(spell(n_buckets), MESSAGE).groupBy("dst").applyInArrow(count, MESSAGE), "counts")
+    all_ = counted.filter(F.col("kind") == COUNTS).agg(F.sum("x").alias("words"), F.max("x").alias("most"), F.sum("y").alias("n")).first()
+    ones = counted.filter(F.col("kind") == ONES).agg(F.sum("x").alias("once"), F.sum("y").alias("twice")).first()
+    n_distinct, n_train = int(all_["words"] or 0), int(all_["n"] or 0)
+    up_discount = discounts[1] if discounts else discount_of(ones["once"] or 0, ones["twice"] or 0)
+    # a word's number interleaves buckets; 0 is for all unknown words, and the end's hash makes it the first of the first bucket
+    end, layout = int(n_train > 0), Layout(int(all_["most"] or 0) * n_buckets + 2, n_buckets)
+    texts = coded.filter(F.col("kind") == TEXTS)
+    places = coded.filter(F.col("kind") == LOCAL).withColumn("a", F.lit(None).cast("binary")).withColumn("b", F.lit(None).cast("binary"))
+    told = texts.union(places).union(counted.filter(F.col("kind") == KNOWN))
+    asked = materialize(told.groupBy("dst").applyInArrow(ask(layout, end), MESSAGE), "asks")
+    discard(counted)
     asks = asked.filter(F.col("kind") == ASK)
     state = materialize(asks.groupBy("dst").applyInArrow(merge(layout), MESSAGE), "cells")
     ones = state.filter(F.col("kind") == STATE).agg(F.sum("x").alias("once"), F.sum("y").alias("twice")).first()
@@ -386,38 +409,24 @@ def score(docs: DataFrame, chunk_bytes: int = CHUNK, discounts: tuple[float, flo
         state = after
         cells, replies, up = blocks(state, up[1], 2 + turn)
     answers = cells.union(asks).groupBy("dst").applyInArrow(answer(layout, discount, up), MESSAGE)
-    told = asked.filter(F.col("kind") == WORDS).union(answers).select(F.col("dst").alias("of_"), "kind", "src", "a", "b")
+    told = texts.union(asked.filter(F.col("kind") == WORDS)).union(answers)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
-    def judge(left: pa.Table, right: pa.Table) -> pa.Table:
+    def judge(key: tuple, got: pa.Table) -> pa.Table:
         import numpy as np
 
-        rows = sorted(right.to_pylist(), key=lambda r: (r["kind"], r["src"]))
-        word, c = grow(rows[0]["a"], "<i8"), grow(rows[0]["b"], "<i8")
-        own = Chunk(left, word, end, layout)
-        p = np.concatenate([grow(r["a"], "<f4") for r in rows[1:]]).astype(np.float64)
+        rows = sorted(got.to_pylist(), key=lambda r: (r["kind"], r["src"]))
+        words = next(r for r in rows if r["kind"] == WORDS)
+        word, c = grow(words["a"], "<i8"), grow(words["b"], "<i8")
+        own = Chunk([r for r in rows if r["kind"] == TEXTS], word, end, layout)
+        p = np.concatenate([grow(r["a"], "<f4") for r in rows if r["kind"] == ANSWER]).astype(np.float64)
         base = np.log10((c + 1) / (n_train + n_distinct + 1))
-        added = [np.add.reduceat(x, own.starts) for x in ((c[own.ids] > 0).astype(np.int64), base[own.ids], p[own.of])]
-        train = left.column("train").to_numpy(zero_copy_only=False).astype(bool)
-        cols = [left.column("doc_id"), pa.array(~train), pa.array(own.lengths), pa.array(added[0]), pa.array(np.full(len(train), n_train, np.int64)), pa.array(added[1]), pa.array(added[2])]
-        return pa.table(cols, names=[x.split()[0] for x in schema.split(", ")])
-
-    return texts.groupBy("chunk").cogroup(told.groupBy("of_")).applyInArrow(judge, schema)
-
-
-def numbered(df: DataFrame) -> DataFrame:
-    """Add `part` and `row`: the partition's number and the row's number there."""
-
-    def run(batches):
-        import numpy as np
-
-        part, seen = TaskContext.get().partitionId(), 0
-        for b in batches:
-            n = b.num_rows
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(n, part, np.int32)), pa.array(np.arange(seen, seen + n))], names=[*b.schema.names, "part", "row"])
-            seen += n
+        known, base_score, total = (np.add.reduceat(x, own.starts) for x in ((c[own.ids] > 0).astype(np.int64), base[own.ids], p[own.of]))
+        doc = pa.array(own.docs, mask=own.flags >= 2)
+        cols = [doc, (own.flags & 1) == 0, own.lengths, known, np.full(len(doc), n_train, np.int64), base_score, total]
+        return pa.table([x if isinstance(x, pa.Array) else pa.array(x) for x in cols], names=[x.split()[0] for x in schema.split(", ")])
 
-    return df.mapInArrow(run, "word long, c long, part int, row long")
+    return told.groupBy("dst").applyInArrow(judge, schema)
 
 
 def query(docs: DataFrame) -> DataFrame:
