@@ -29,3 +29,48 @@ def test_stages(spark, tmp_path):
 
 def test_run(spark):
     assert cp.run(spark, SF_DIR).count() > 0
+
+
+def folded_ids(docs, similarity=0.8):
+    """Smallest ids of the components of all pairs whose five-word sets reach the similarity, by brute force."""
+    sets = {}
+    for r in docs.select("doc_id", "text").collect():
+        w = (r["text"] or "").encode().lower().split()
+        sets[r["doc_id"]] = {b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    holders, root = {}, {i: i for i in sets}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, s in sorted(sets.items()):
+        met = {}
+        for x in s:
+            for j in holders.setdefault(x, []):
+                met[j] = met.get(j, 0) + 1
+            holders[x].append(i)
+        for j, both in met.items():
+            if 9 * both >= 4 * (len(s) + len(sets[j])):  # both / (union) >= 4/5
+                a, b = top(i), top(j)
+                root[max(a, b)] = min(a, b)
+    return {top(i) for i in sets if sets[i]} | set(sorted(i for i in sets if not sets[i])[:1])
+
+
+def test_folds_by_jaccard(spark):
+    """Against brute force on whole texts, and on edited copies at similarities around the limit."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    got = [r["doc_id"] for r in cp.fold_near_copies(spark, docs, SF_DIR).select("doc_id").collect()]
+    assert len(got) == len(set(got)) and set(got) == folded_ids(docs)
+    rows = []
+    for f in range(6):
+        words = [f"w{f}x{i}" for i in range(104)]  # 100 shingles
+        rows.append((100 * f + 50, " ".join(words)))
+        for c in range(8):  # one changed word costs five shingles (95 / 105), two ten (90 / 110), three fifteen (85 / 115 < 0.8)
+            edited = list(words)
+            for j in range(c % 4):
+                edited[10 + 9 * c + 5 * j] = f"e{f}x{c}x{j}"
+            rows.append((100 * f + c, " ".join(edited)))
+    docs = spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"] for r in cp.fold_near_copies(spark, docs, SF_DIR).select("doc_id").collect()}
+    assert got == folded_ids(docs) and 0 in got and 50 not in got and 3 in got

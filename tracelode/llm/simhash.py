@@ -26,21 +26,29 @@ SEED = 42
 ALL = 0xFFFFFFFFFFFFFFFF
 
 
-def fingerprint(text: bytes | None, shingle: int) -> int:
-    """SimHash of the XXH64 values of all shingles of A-Z lower-cased words, repeats included."""
+def hashes(text: bytes | None, shingle: int):
+    """XXH64 values of all shingles of A-Z lower-cased words, repeats included, in the text's order."""
     import numpy as np
     import xxhash
 
     words = (text or b"").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     n = max(1, len(words) - shingle + 1)
     starts = [0, *(ends[: n - 1] + 1).tolist()]
     stops = ends[min(shingle, len(words)) - 1 :].tolist()
     of = xxhash.xxh64_intdigest
-    h = np.fromiter([of(joined[a:b], SEED) for a, b in zip(starts, stops)], np.uint64, n)
+    return np.fromiter([of(joined[a:b], SEED) for a, b in zip(starts, stops)], np.uint64, n)
+
+
+def fingerprint(text: bytes | None, shingle: int) -> int:
+    """SimHash of the hashes of all shingles."""
+    import numpy as np
+
+    h = hashes(text, shingle)
+    n = len(h)
     total = np.zeros(64, np.int64)
     for at in range(0, n, 8192):
         total += np.unpackbits(h[at : at + 8192].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
