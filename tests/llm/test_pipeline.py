@@ -74,3 +74,12 @@ def test_folds_by_jaccard(spark):
     docs = spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = {r["doc_id"] for r in cp.fold_near_copies(spark, docs, SF_DIR).select("doc_id").collect()}
     assert got == folded_ids(docs) and 0 in got and 50 not in got and 3 in got
+
+
+def test_fold_keeps_odd_ids(spark):
+    one, two, three = (" ".join(f"{k}{i}" for i in range(60)) for k in "abc")
+    rows = [(None, one), (None, two), (None, None), (7, two), (7, three), (7, three), (9, two), (4, one), (5, one + " more"), (8, ""), (6, None)]
+    docs = spark.createDataFrame([(i, t, "en", "web", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = cp.fold_near_copies(spark, docs, SF_DIR)
+    assert got.columns == docs.columns
+    assert sorted(map(repr, ((r["doc_id"], r["text"]) for r in got.collect()))) == sorted(map(repr, [(None, one), (None, two), (None, None), (7, two), (7, three), (4, one), (6, None)]))
