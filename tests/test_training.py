@@ -47,3 +47,19 @@ def test_earlier_triplets(spark):
     rows = spark.createDataFrame([(i, i * 50_000, i % 4) for i in range(24)], "report long, ts long, bucket long")
     got = neural.triplets(rows, 2, earlier=True).collect()
     assert got and all(r["bad"] < r["query"] and r["query"] % 4 == r["good"] % 4 != r["bad"] % 4 for r in got)
+
+
+def test_triplet_counts(spark):
+    """Each duplicate with any report of another bucket gets exactly k draws, with a bucket of most rows, and draws cover all of those."""
+    bucket = [0, 0, 0, 1, 0, 0, 2, 0, 1, 0, 0, 3, 0, 2, 0, 1, 0, 0]
+    rows = spark.createDataFrame([(i, i * 50_000, b) for i, b in enumerate(bucket)], "report long, ts long, bucket long")
+    for earlier in (True, False):
+        got, want = {}, {}
+        for r in neural.triplets(rows, 200, earlier=earlier).collect():
+            assert bucket[r["query"]] == bucket[r["good"]] and r["good"] < r["query"]
+            got.setdefault(r["query"], []).append(r["bad"])
+        for i, b in enumerate(bucket):
+            others = {j for j, c in enumerate(bucket) if c != b and (j < i or not earlier)}
+            if b in bucket[:i] and others:
+                want[i] = others
+        assert {i: set(x) for i, x in got.items()} == want and all(len(x) == 200 for x in got.values())

@@ -122,19 +122,27 @@ def triplets(rows: DataFrame, k: int, seed: int = 0, earlier: bool = False) -> D
     """(report, ts, bucket) -> (query, good, bad): per duplicate k draws, with replacement, of a report of its bucket and one of another.
 
     Draws are by index: members of a bucket have numbers, and a seeded hash picks one; all reports have numbers too, in order of time,
-    and a pick of the query's own bucket moves on. With `earlier`, bad ones come from reports before the query only.
+    and a bad one is picked among the reports outside the bucket: pick j is number j + m, m being the members of the bucket that have
+    at most j reports of others before them. With `earlier`, bad ones come from reports before the query only. A duplicate gets k
+    draws, or none where there is no report of another bucket to draw.
     """
     in_bucket, total = Window.partitionBy("bucket").orderBy("ts", "report"), Window.partitionBy("bucket")
     numbered = rows.withColumn("i", F.row_number().over(in_bucket) - 1).withColumn("n", F.count("*").over(total))
     placed = before(numbered, F.floor(F.col("ts") / DAY), ["ts", "report"], F.lit(1), "p")
     size = placed.agg(F.max("p").alias("last")).first()["last"] or 0
-    asked = placed.filter("i > 0").select(F.col("report").alias("query"), F.col("bucket").alias("qb"), F.col("i").alias("qi"), F.col("p").alias("qp"), F.explode(F.sequence(F.lit(1), F.lit(k))).alias("draw"))
+    others = F.col("p") - F.col("i") if earlier else F.lit(size + 1) - F.col("n")
+    asked = placed.filter("i > 0").withColumn("others", others).filter("others > 0")
+    asked = asked.select(F.col("report").alias("query"), F.col("bucket").alias("qb"), F.col("i").alias("qi"), "others", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("draw"))
     pick = lambda salt, n: F.pmod(F.xxhash64("query", "draw", F.lit(seed), F.lit(salt)), n)
-    asked = asked.withColumn("gi", pick("good", F.col("qi"))).withColumn("bp", pick("bad", F.greatest(F.col("qp"), F.lit(1)) if earlier else F.lit(size + 1)))
+    asked = asked.withColumn("gi", pick("good", F.col("qi"))).withColumn("j", pick("bad", F.col("others")))
+    own = placed.select(F.col("bucket").alias("qb"), (F.col("p") - F.col("i")).alias("j"), F.lit(1).alias("own"))
+    upto = Window.partitionBy("qb").orderBy("j", F.desc("own")).rowsBetween(Window.unboundedPreceding, 0)
+    both = asked.withColumn("own", F.lit(0)).unionByName(own, allowMissingColumns=True)
+    asked = both.withColumn("bp", F.col("j") + F.sum("own").over(upto)).filter("own = 0")
     good = placed.select(F.col("bucket").alias("b1"), F.col("i").alias("i1"), F.col("report").alias("good"))
-    bad = placed.select(F.col("p").alias("p1"), F.col("report").alias("bad"), F.col("bucket").alias("b2"))
+    bad = placed.select(F.col("p").alias("p1"), F.col("report").alias("bad"))
     got = asked.join(good, (F.col("qb") == F.col("b1")) & (F.col("gi") == F.col("i1"))).join(bad, F.col("bp") == F.col("p1"))
-    return got.filter("qb <> b2").select("query", "good", "bad", "draw")
+    return got.select("query", "good", "bad", "draw")
 
 
 def ranking_loss(good: np.ndarray, bad: np.ndarray) -> float:
