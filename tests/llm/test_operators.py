@@ -406,6 +406,13 @@ def test_packing(spark, docs, odd):
     assert row["ids"][-1] == 1 and len(row["ids"]) == row["length"]
 
 
+def test_packing_special(spark):
+    texts = dict(enumerate(["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>x", "a<|endoftext|> <|endoftext", "<|EndOfText|> \u00e9<|endoftext|>\n\nb"]))
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    check_packed(packing.query(rows).toPandas(), texts)
+    assert packing.encoder()(texts[0]) == [64, 220, 50256, 275]
+
+
 # --- language model
 
 
