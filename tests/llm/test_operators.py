@@ -427,9 +427,9 @@ def test_lm(spark, docs, odd):
         assert r.base_score == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws), rel=1e-9)
     held = got[got.held_out]
     assert held.score.sum() > held.base_score.sum()
-    small = hpylm.score(spark.read.parquet(f"{SF_DIR}/documents.parquet"), chunk_bytes=20_000).toPandas().set_index("doc_id")
+    small = hpylm.score(spark.read.parquet(f"{SF_DIR}/documents.parquet").repartition(3), chunk_bytes=200_000, cells=40_000).toPandas().set_index("doc_id")
     same = got.loc[small.index]
-    assert np.allclose(small.score, same.score, rtol=0.02) and np.allclose(small.base_score, same.base_score) and (small.n_known == same.n_known).all()
+    assert np.allclose(small.score, same.score, rtol=1e-12) and np.allclose(small.base_score, same.base_score) and (small.n_known == same.n_known).all()
     other = hpylm.query(odd).toPandas()
     assert len(other) == odd.count() and np.isfinite(other.score).all() and hpylm.query(odd.limit(0)).count() == 0
 
@@ -452,23 +452,93 @@ def test_lm_brute_force(spark):
         return (pairs[u, w] * (1 - d) + (s + d * context[u]) * up) / (s + context[u])
 
     rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
-    got = {r["doc_id"]: r["score"] for r in hpylm.score(rows, chunk_bytes=8, discounts=(d, 0.0)).collect()}
+    got = {r["doc_id"]: r["score"] for r in hpylm.score(rows, chunk_bytes=8, cells=5, discounts=(d, 0.0)).collect()}
     for i, t in texts.items():
         ws = [*t.lower().split(), ""]
-        assert got[i] == pytest.approx(sum(math.log10(p(u, w)) for u, w in zip(["", *ws], ws)), rel=1e-5)
+        assert got[i] == pytest.approx(sum(math.log10(p(u, w)) for u, w in zip(["", *ws], ws)), rel=1e-9)
     vocabulary = [*below, "zzz"]
     assert all(sum(p(u, w) for w in vocabulary) == pytest.approx(1) for u in vocabulary)
 
 
-def test_lm_pairs_in_buckets():
-    lay, rng = hpylm.Layout(501, 7), np.random.default_rng(0)
-    u, w = rng.integers(0, 501, (2, 4000))
-    full = lay.full(u, w)
-    for b in range(7):
-        own = full // lay.span == b
-        assert all((x == y[own]).all() for x, y in zip(lay.pair(full[own] % lay.span, b), (u, w)))
+def slow_log_probabilities(texts, train, d, d0):
+    """The model over plain dicts: the same chains, one cell at a time, for all texts."""
+    s, number = hpylm.STRENGTH, {}
+    pairs = Counter()
+    for i in train:
+        ws = [*texts[i].lower().split(), ""]
+        pairs.update(zip(["", *ws], ws))
+    words = {w: 0 if not w else int(hpylm.word_keys(np.frombuffer(w.encode(), np.uint8))[0][0]) for w in {w for p in pairs for w in p}}
+    number = {w: k for k, w in enumerate(sorted(words, key=words.get))}
+    dishes, context = len(number) + 1, Counter()
+    for (u, _), n in pairs.items():
+        context[u] += n
+    one = lambda u, w, c, seed: hpylm.keyed(np.array([u]), np.array([w]), c, seed)
+
+    def chain(c):
+        t, own_total = dict.fromkeys(pairs, 1), float(len(number))
+
+        def parent(seed):
+            below = Counter()
+            for (_, w), k in t.items():
+                below[w] += k
+            own = {w: int(hpylm.seat([k], [(s + d0 * own_total) / dishes], d0 / dishes, d0, one(number[w], number[w], c, seed))[0]) for w, k in below.items()}
+            return below, own, sum(own.values())
+
+        def up(w, less=0):
+            left = below.get(w, 0) - less
+            return (left - d0 * min(own.get(w, 0), left) + (s + d0 * own_total) / dishes) / (s + sum(below.values()) - less)
+
+        for turn in range(hpylm.ROUNDS):
+            below, own, own_total = parent(2 * turn)
+            tables = Counter()
+            for (u, _), k in t.items():
+                tables[u] += k
+            t = {(u, w): int(hpylm.seat([n], [(s + d * (tables[u] - t[u, w])) * up(w, t[u, w])], d * up(w, t[u, w]), d, one(number[u], number[w], c, 2 * turn + 1))[0]) for (u, w), n in pairs.items()}
+        below, own, own_total = parent(2 * hpylm.ROUNDS)
+        tables = Counter()
+        for (u, _), k in t.items():
+            tables[u] += k
+        return lambda u, w: (pairs.get((u, w), 0) - d * t.get((u, w), 0) + (s + d * tables[u]) * up(w)) / (s + context[u])
+
+    chains = [chain(c) for c in range(hpylm.CHAINS)]
+    p = lambda u, w: sum(f(u, w) for f in chains) / len(chains)
+    assert all(sum(p(u, w) for w in [*number, None]) == pytest.approx(1) for u in number)
+    return {i: sum(math.log10(p(u, w)) for u, w in zip(["", *x.lower().split()], [*x.lower().split(), ""])) for i, x in texts.items()}
+
+
+def test_lm_repeated_pairs(spark):
+    """Against one cell at a time in plain Python, where pairs come many times and some words hold a third of all."""
+    rng = np.random.default_rng(4)
+    names = ["the", "of", *[f"w{i}" for i in range(30)]]
+    texts = {i: " ".join(names[min(int(k), 31)] for k in rng.zipf(1.6, 40) - 1) for i in range(30)}
+    train = [i for i in texts if crc(i) % 7 != 2]
+    texts[1000] = "the zzz of unknown w1"
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["score"] for r in hpylm.score(rows, chunk_bytes=3000, cells=300, discounts=(0.6, 0.4)).collect()}
+    train += [1000] * (crc(1000) % 7 != 2)
+    want = slow_log_probabilities(texts, train, 0.6, 0.4)
+    assert all(got[i] == pytest.approx(want[i], rel=1e-9) for i in texts)
+
+
+def test_lm_numbers_and_messages():
+    sizes = [int(x) for x in np.random.default_rng(0).integers(0, 9, 3 * hpylm.SPLIT)]
+    numbers = hpylm.Numbers(sizes, 3)
+    low, total = numbers.low, sum(sizes)
+    for u in range(0, total, 7):
+        for w in range(0, total, 5):
+            a, b = (int(np.searchsorted(low, x, "right") - 1) for x in (u, w))
+            key = (u - low[a]) * (low[b + 1] - low[b]) + w - low[b]
+            assert numbers.pair(np.array([key]), a * 3 + b) == (np.array([u]), np.array([w])) and sizes[int(numbers.ranges(u))] > 0
     x = np.array([-1, 0, 7, 1 << 40])
-    assert (hpylm.grow(hpylm.shrink(x), "<i8") == x).all() and (hpylm.grow_sorted(hpylm.shrink_sorted(x)) == x).all() and len(hpylm.grow(hpylm.shrink(x[:0]), "<i8")) == 0
+    assert (hpylm.grow(hpylm.shrink(x)) == x).all() and (hpylm.grow_sorted(hpylm.shrink_sorted(x)) == x).all() and len(hpylm.grow(hpylm.shrink(x[:0]))) == 0
+
+
+def test_lm_word_keys():
+    raw = b"  A b\tC  d\xc3\x89\na B c\x1cd " + b"x" * 3_000_000 + b" end"
+    keys, starts = hpylm.word_keys(np.frombuffer(raw, np.uint8))
+    ws = raw.lower().split()
+    assert len(keys) == len(ws) and len(set(keys.tolist())) == len(set(ws)) and [raw[s : s + 1].lower() for s in starts] == [w[:1] for w in ws]
+    assert keys[0] == keys[4] and keys[1] == keys[5] and (keys > 0).all() and len(hpylm.word_keys(np.frombuffer(b" \n", np.uint8))[0]) == 0
 
 
 def expected_tables(n, new, d):
@@ -486,10 +556,33 @@ def expected_tables(n, new, d):
     return sum(p * t for p, t in all_) / sum(p for p, _ in all_)
 
 
-def test_lm_seating():
-    rng = np.random.default_rng(3)
-    for n, new in ((2, 0.3), (3, 0.3), (5, 1.5), (6, 0.05)):
-        got = hpylm.seat(np.full(8000, n), np.full(8000, new), 0.4, rng).mean() / hpylm.SAMPLES
-        assert got == pytest.approx(expected_tables(n, new, 0.4), abs=0.05)
-    t = hpylm.seat(np.array([0, 1, 63, 64, 65, 5000, 10**7]), np.full(7, 2.0), 0.4, rng) / hpylm.SAMPLES
-    assert t[0] == 0 and t[1] == 1 and (t[2:] >= 1).all() and (t <= np.array([0, 1, 63, 64, 65, 5000, 10**7])).all() and len(hpylm.seat([], [], 0.4, rng)) == 0
+def exact_tables(n, new, d):
+    """The same mean from generalised Stirling numbers, for larger n."""
+    log = np.full(n + 1, -np.inf)
+    log[1], t = 0.0, np.arange(n + 1)
+    for m in range(1, n):
+        with np.errstate(divide="ignore"):
+            log = np.logaddexp(log + np.log(np.maximum(m - t * d, 0)), np.concatenate([[-np.inf], log[:-1]]))
+    law = log[1:] + t[:-1] * np.log(new)
+    return (np.exp(law - np.logaddexp.reduce(law)) * t[1:]).sum()
+
+
+@pytest.mark.parametrize("n, new", [(2, 0.3), (6, 3), (10, 0.5), (40, 20), (63, 3), (64, 3), (64, 20), (65, 20), (1000, 0.01), (1000, 3), (1000, 20)])
+def test_lm_seating(n, new):
+    cells = 4000
+    for d in (0.4, 0.7):
+        want = exact_tables(n, new, d)
+        t = hpylm.seat(np.full(cells, n), np.full(cells, float(new)), 0.0, d, hpylm.mixed(np.arange(cells, dtype=np.uint64)))
+        assert t.mean() == pytest.approx(want, abs=max(0.02 * want, 4 * t.std() / cells**0.5))
+        if n <= 6:
+            assert want == pytest.approx(expected_tables(n, new, d))
+
+
+def test_lm_seating_of_large_cells():
+    """With a + b i = strength + d i the law is the Pitman-Yor process itself, whose mean is known for any size."""
+    d, s, n, cells = 0.5, 2.0, 100_000, 3000
+    t = hpylm.seat(np.full(cells, n), np.full(cells, s), d, d, hpylm.mixed(np.arange(cells, dtype=np.uint64)))
+    want = s / d * (math.exp(math.lgamma(s + d + n) + math.lgamma(s) - math.lgamma(s + n) - math.lgamma(s + d)) - 1)
+    assert t.mean() == pytest.approx(want, rel=0.05)
+    odd = hpylm.seat(np.array([0, 1, 10**7]), np.full(3, 0.5), 0.0, 0.4, np.arange(3, dtype=np.uint64))
+    assert odd[0] == 0 and odd[1] == 1 and 1 <= odd[2] and len(hpylm.seat([], [], 0.0, 0.4, np.zeros(0, np.uint64))) == 0

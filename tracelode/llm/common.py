@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -49,6 +50,22 @@ def discard(*tables: DataFrame) -> None:
                 target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Have the driver drop what ended plans left: Spark removes the files of shuffles that nothing refers to once the JVM sees it."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def mixed(x):
+    """A 64-bit finalizer, for numpy arrays."""
+    import numpy as np
+
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+
 def crc32_of(col: Column) -> Column:
     """Unsigned CRC-32 of a column's text form."""
     return F.crc32(col.cast("string").cast("binary"))

@@ -5,18 +5,18 @@ the parent restaurant of words, whose parent is uniform over the distinct words
 word) with its count of customers over all training texts; there are as many cells as distinct pairs, and nothing about them
 reaches the driver but sums.
 
+Seating. A Gibbs step takes all customers of a cell from their tables and seats them anew, one after another, given all other cells
+as of the last round: the exact conditional of the cell's number of tables, at all sizes by the same draw (`seat`). CHAINS chains run
+side by side over ROUNDS rounds, each from one table a cell; the parent's customers, one for each table below, are seated the same
+way. The predictive probability, which sums to one over words, is averaged over the chains. Random numbers come from hashes of (context,
+word, chain, round), so that scores don't depend on how rows, chunks and buckets lie.
+
 Words meet texts by chunk, a run of rows of one input partition of about CHUNK bytes: one scan writes texts as local word numbers and
-a chunk's distinct words as sorted 63-bit hashes with counts; words are summed and numbered by buckets of hashes, and each chunk
-gets the numbers and counts of its own words back. A chunk then asks, bucket by bucket, for its distinct pairs: bucket (u + w) mod B, so that neither a
-frequent context nor a frequent word gathers in one bucket; B is the number of chunks. A bucket merges the asks into cells.
-
-Seating: in a round, a cell's tables are sampled given the tables of its context and the parent's probability of its word, both as of
-the last round: customers picked at random, up to MOVES a sweep, leave their table and sit at one by its size less the discount, or
-at a new one; after BURN sweeps the numbers of tables are averaged over SAMPLES sweeps. One customer has one table; two are drawn
-from their exact conditional. Of a cell above CROWD customers, CROWD are seated so and the rest are dealt on in doubling blocks with
-Poisson numbers of new tables. Buckets then send tables per context and per word to blocks of words, which seat the parent's
-customers (one for each table below) the same way and answer. After ROUNDS rounds a bucket answers each ask with log10 of the
-predictive probability from the averaged seating, which sums to one over words; a chunk adds these up along its texts.
+a chunk's distinct words as sorted 63-bit hashes with counts. Ranges of hashes sum the words and number the training ones by hash.
+A chunk sends its distinct pairs to buckets, a square grid over classes of (context, word), so that neither a frequent context nor a
+frequent word gathers in one bucket; a class is SPLIT ranges, and the grid grows with the tokens, to about CELLS tokens a bucket. Each
+round, buckets send tables per context and word to the ranges of words, which seat the parent and answer. At last buckets answer
+chunks with customers and tables per pair, ranges with sums per word, and the chunk adds log10 of the probabilities along its texts.
 
 Messages are sorted numbers as differences, in byte planes under zstandard. With few chunks there is one message for each pair of
 chunk and bucket; with very many, messages shrink towards a row for each of a chunk's pairs, never more.
@@ -27,17 +27,20 @@ certain; repeated rows are scored each and, in training, counted each; a null id
 
 from __future__ import annotations
 
+from functools import lru_cache
+from math import ceil, sqrt
+
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_list, discard, held_out, materialize
+from .common import byte_list, discard, held_out, materialize, mixed, release
 
-CHUNK, BLOCK, CROWD, MOVES, BURN, SAMPLES, ROUNDS = 8 << 20, 1 << 14, 64, 8, 3, 5, 2
+CHUNK, CELLS, SPLIT, CHAINS, ROUNDS, SPAN = 16 << 20, 1 << 20, 16, 3, 3, 1 << 20
 STRENGTH = 1.0
-TEXTS, LOCAL, SPELLED, KNOWN, COUNTS, ONES, WORDS, ASK, STATE, PART, REPLY, TOTAL, ANSWER = range(13)
-MESSAGE = "kind int, src long, dst long, a binary, b binary, c binary, d binary, e binary, x double, y double"
+TEXTS, LOCAL, SPELLED, KNOWN, COUNTS, ONES, ASK, ASKED, STATE, PART_U, PART_W, REPLY_U, REPLY_W, TOTAL, WORDS, ANSWER = range(16)
+MESSAGE = "kind int, src long, dst long, a binary, b binary, c binary, d binary, x double, y double"
 
 
 def shrink(x) -> bytes:
@@ -45,10 +48,10 @@ def shrink(x) -> bytes:
     import numpy as np
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).view(np.uint8).reshape(x.size, x.dtype.itemsize).T.tobytes())
 
 
-def grow(raw: bytes, kind: str):
+def grow(raw: bytes, kind: str = "<i8"):
     import numpy as np
     import zstandard
 
@@ -64,124 +67,235 @@ def shrink_sorted(x) -> bytes:
 
 
 def grow_sorted(raw: bytes):
-    return grow(raw, "<i8").cumsum()
+    return grow(raw).cumsum()
 
 
 def messages(rows: list[tuple]) -> pa.Table:
     """Rows of MESSAGE; what a row doesn't name at its end is null."""
-    kinds = [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 5, pa.float64(), pa.float64()]
+    kinds = [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 4, pa.float64(), pa.float64()]
     names = [f.split()[0] for f in MESSAGE.split(", ")]
     full = [(*r, *[None] * (len(names) - len(r))) for r in rows]
     return pa.table([pa.array(list(c), k) for c, k in zip(zip(*full) if full else [[]] * len(names), kinds)], names=names)
 
 
-def seat(n, new, discount: float, rng):
-    """Tables of each cell, summed over SAMPLES sweeps: n customers, `new` the weight of a new table."""
+def by_kind(got: pa.Table) -> dict[int, list[dict]]:
+    """A group's messages by kind, each in order of their senders."""
+    out: dict[int, list[dict]] = {}
+    for r in sorted(got.to_pylist(), key=lambda r: (r["kind"], r["src"])):
+        out.setdefault(r["kind"], []).append(r)
+    return out
+
+
+def joined(rows: list[dict], name: str, read=grow):
     import numpy as np
 
-    n, new = np.asarray(n, np.int64), np.asarray(new, np.float64)
-    out = np.where(n > 0, SAMPLES, 0).astype(np.int64)
-    two = np.flatnonzero(n == 2)
-    out[two] += rng.binomial(SAMPLES, new[two] / (1 - discount + new[two]))
-    many = np.flatnonzero(n > 2)
-    many = many[np.argsort(n[many], kind="stable")]
-    seated = np.minimum(n[many], CROWD)
-    for c in np.unique(seated).tolist():
-        lo, hi = np.searchsorted(seated, [c, c + 1])
-        step = max(1, (1 << 20) // c)
-        for at in range(lo, hi, step):
-            own = many[at : min(at + step, hi)]
-            out[own] = sweeps(len(own), c, new[own], discount, rng)
-    at = many[n[many] > CROWD]
-    done = CROWD
-    while len(at):  # the rest of large cells
-        more = np.minimum(n[at] - done, done)
-        rate = new[at] / (done + more / 2 - discount * out[at] / SAMPLES + new[at])
-        out[at] += np.minimum(rng.poisson(SAMPLES * more * rate), SAMPLES * more)
-        done *= 2
-        at = at[n[at] > done]
-    return out
+    return np.concatenate([read(r[name]) for r in rows]) if rows else np.zeros(0, np.int64)
 
 
-def sweeps(cells: int, c: int, new, discount: float, rng):
+def by_chain(rows: list[dict], name: str):
+    """Arrays of CHAINS lines side by side."""
     import numpy as np
 
-    sizes, row, total = np.zeros((cells, c), np.int32), np.arange(cells), np.zeros(cells, np.int64)
-    sizes[:, 0] = c
-    for sweep in range(BURN + SAMPLES):
-        for _ in range(min(c, MOVES)):
-            leave = (sizes.cumsum(1) <= (rng.random(cells) * c)[:, None]).sum(1)
-            sizes[row, leave] -= 1
-            upto = np.where(sizes > 0, sizes - discount, 0.0).cumsum(1)
-            x = rng.random(cells) * (upto[:, -1] + new)
-            to = np.where(x < upto[:, -1], np.minimum((upto <= x[:, None]).sum(1), c - 1), (sizes == 0).argmax(1))
-            sizes[row, to] += 1
-        if sweep >= BURN:
-            total += (sizes > 0).sum(1)
-    return total
+    return np.concatenate([grow(r[name]).reshape(CHAINS, -1) for r in rows], axis=1) if rows else np.zeros((CHAINS, 0), np.int64)
 
 
-def encoded(docs: DataFrame, chunk_bytes: int) -> DataFrame:
-    """Messages to a chunk: TEXTS (ids, flags, lengths, local word numbers) and LOCAL (hashes, training counts, place of each number).
+# --- seating
+
 
-    Hashes are sorted; a hash is XXH3 of the lower-cased word without its last bit, and 0 stands for the end of a text. Flags: 1 for
-    training, 2 for a null id.
+def log_rising(x, k):
+    """log of gamma(x + k) / gamma(x), for positive x and k of 0 or more."""
+    return log_gamma(x + k) - log_gamma(x)
+
+
+def log_gamma(x):
+    """By Stirling's series after a shift by six."""
+    import numpy as np
+
+    y = x + 6.0
+    r = 1.0 / (y * y)
+    series = (1 / 12 - r * (1 / 360 - r * (1 / 1260 - r / 1680))) / y
+    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + series - np.log(x * (x + 1) * (x + 2) * (x + 3) * (x + 4) * (x + 5))
+
+
+def uniform(key, turn):
+    """Numbers in (0, 1) from 64-bit keys and counters."""
+    import numpy as np
+
+    with np.errstate(over="ignore"):
+        x = mixed(key + turn * np.uint64(0x9E3779B97F4A7C15))
+    return ((x >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
+
+
+def seat(n, a, b, discount: float, key):
+    """An exact draw of each cell's number of tables, seating its n customers in sequence.
+
+    To sit at a table of size k weighs k - discount, to open a table when i are open weighs a + b i; the first opens its own. So t
+    tables have probability in proportion to the generalised Stirling number of (n, t) times the product of a + b i over 0 < i < t.
+
+    Customers are seated by a plain Pitman-Yor process of some strength, in which the next customer to open a table is found at once
+    by its distribution function; the ratios of weights accept or reject the seating as it goes, so the strength only changes the
+    cost. Work per draw follows tables, not customers. key: 64-bit numbers, one per cell; the draw depends on nothing else.
     """
+    import numpy as np
 
-    def run(batches):
-        import numpy as np
-        import xxhash
+    n = np.asarray(n, np.int64)
+    out = (n > 0).astype(np.int64)
+    at = np.flatnonzero(n > 1)
+    d = max(discount, 1e-3)
+    n, a, b = n[at].astype(np.float64), np.broadcast_to(np.asarray(a, np.float64), out.shape)[at], np.broadcast_to(np.asarray(b, np.float64), out.shape)[at]
+    key = np.asarray(key, np.uint64)[at]
+    about = np.minimum((n ** -(1 + d) + (1 + a / d) ** -(1 + d)) ** (-1 / (1 + d)), 1 + a * np.log((n + a) / (1 + a)))  # the mean, roughly
+    strength = np.maximum(a - (d - b) * about, np.minimum(a, 0.2) - d)
+    turn_at = np.maximum(1.0, np.ceil((a - strength) / np.maximum(d - b, 1e-12)))  # from here on a new table weighs less than proposed
+    m, t, turn = np.ones(len(at)), np.ones(len(at)), np.zeros(len(at), np.uint64)
+    while len(at):
+        turn += np.uint64(2)
+        u, v = np.log(uniform(key, turn)), np.log(uniform(key, turn + np.uint64(1)))
+        free, own = m - t * d, m + strength
+        start = log_gamma(free) - log_gamma(own)
+        ended = u < log_gamma(n - t * d) - log_gamma(n + strength) - start  # nobody else opens a table
+        short = ended & (t < turn_at)
+        accept = np.zeros(len(at))
+        if short.any():
+            tt, k, aa, bb = t[short], (turn_at - t)[short], a[short], b[short]
+            up = log_rising(strength[short] / d + tt, k) + k * np.log(d)
+            grows = bb > 1e-9 * aa
+            bs = np.where(grows, bb, aa)
+            accept[short] = up - np.where(grows, log_rising(aa / bs + tt, k) + k * np.log(bs), k * np.log(aa))
+        opens = ~ended
+        accept[opens] = np.minimum(0.0, np.log(a[opens] + b[opens] * t[opens]) - np.log(strength[opens] + d * t[opens]))
+        if opens.any():  # the first customer by whom somebody has opened one
+            low, high, s, td, st = np.ones(opens.sum()), (n - m)[opens], start[opens], (t * d)[opens], strength[opens]
+            uu, mm = u[opens], m[opens]
+            while (todo := np.flatnonzero(low < high)).size:
+                mid = np.floor((low[todo] + high[todo]) / 2)
+                x = mm[todo] + mid
+                hit = log_gamma(x - td[todo]) - log_gamma(x + st[todo]) - s[todo] <= uu[todo]
+                high[todo[hit]], low[todo[~hit]] = mid[hit], mid[~hit] + 1
+            m[opens] += low
+            t[opens] += 1
+        good = v <= accept
+        done = ended & good
+        out[at[done]] = t[done].astype(np.int64)
+        m[~good], t[~good] = 1.0, 1.0
+        left = ~done
+        at, n, a, b, key, strength, turn_at, m, t, turn = (x[left] for x in (at, n, a, b, key, strength, turn_at, m, t, turn))
+    return out
 
-        of, part = xxhash.xxh3_64_intdigest, TaskContext.get().partitionId()
-        seq, held, local, counts, rows = 0, 0, {}, np.zeros(1 << 16, np.int64), []
 
-        def texts():
-            docs, flags, ids = zip(*rows)
-            packed = [np.array([d or 0 for d in docs], np.int64), np.array(flags, np.uint8), np.array([len(x) for x in ids], np.int64), np.concatenate(ids)]
-            return (TEXTS, at(), at(), *map(shrink, packed))
+def discount_of(once: float, twice: float) -> float:
+    """The usual estimate, from how many cells have one and two customers."""
+    return min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
+
 
-        def words():
-            key = np.fromiter((of(w) >> 1 if w else 0 for w in local), np.int64, len(local))
-            order = np.argsort(key, kind="stable")
-            place = np.empty(len(order), np.uint32)
-            place[order] = np.arange(len(order), dtype=np.uint32)
-            return (LOCAL, at(), at(), shrink_sorted(key[order]), shrink(counts[: len(local)][order]), shrink(place))
+# --- words
 
-        def at():
-            return (part << 24) + seq
 
-        for batch in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):  # few texts at a time as Python objects
+@lru_cache(1)
+def tables():
+    """Of each byte: whether it is white space, and a 64-bit number, the same for both cases of A-Z."""
+    import numpy as np
+
+    blank = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+    low = np.arange(256, dtype=np.uint64)
+    low[65:91] += 32
+    return blank, mixed(low * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0xD1B54A32D192ED03))
+
+
+def word_keys(raw):
+    """(hashes, starts) of the words of a byte array: 63-bit numbers above 0, a polynomial over the lower-cased bytes, mixed."""
+    import numpy as np
+
+    is_blank, number = tables()
+    blank = np.ones(len(raw) + 2, bool)
+    blank[1:-1] = is_blank[raw]
+    edges = np.flatnonzero(blank[1:] != blank[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    size = ends - starts
+    upto = size.cumsum()
+    keys, at = np.zeros(len(starts), np.uint64), 0
+    with np.errstate(over="ignore"):
+        power = np.multiply.accumulate(np.full(int(size.max(initial=0)), 0x5851F42D4C957F2D, np.uint64))
+        while at < len(starts):
+            base = upto[at] - size[at]
+            to = max(at + 1, int(np.searchsorted(upto, base + SPAN, "right")))
+            s, e = starts[at], ends[to - 1]
+            first = upto[at:to] - size[at:to] - base
+            place = np.arange(upto[to - 1] - base) - np.repeat(first, size[at:to])
+            keys[at:to] = np.add.reduceat(number[raw[s:e][~blank[s + 1 : e + 1]]] * power[place], first)
+            at = to
+        keys = mixed(keys + size.astype(np.uint64)) >> np.uint64(1)
+    return np.maximum(keys, 1).astype(np.int64), starts
+
+
+def encoded(docs: DataFrame, chunk_bytes: int) -> DataFrame:
+    """Messages of a chunk: TEXTS (ids, flags, lengths, local word numbers) and LOCAL (sorted hashes, training counts; x is its tokens).
+
+    A word's local number is the place of its hash; 0 is the end of a text, whose hash is 0. Flags: 1 for training, 2 for a null id.
+    """
+
+    def run(batches):
+        import numpy as np
+
+        part, seq, held = TaskContext.get().partitionId(), 0, 0
+        keys, lengths, flags, ids = [], [], [], []
+        waiting: list[bytes] = []
+
+        def digest():
+            raw = np.frombuffer(b"\n".join(waiting), np.uint8)
+            own, starts = word_keys(raw)
+            bounds = np.cumsum([len(t) + 1 for t in waiting])
+            ends = np.searchsorted(starts, bounds)
+            keys.append(np.insert(own, ends, 0))
+            lengths.append(np.diff(ends, prepend=0) + 1)
+            waiting.clear()
+
+        def chunk():
+            if waiting:
+                digest()
+            n, f = np.concatenate(lengths), np.array(flags, np.uint8)
+            local, place = np.unique(np.concatenate(keys), return_inverse=True)
+            train = np.repeat((f & 1).astype(bool), n)
+            at = (part << 24) + seq
+            counts = np.bincount(place[train], minlength=len(local))
+            rows = [(TEXTS, at, at, *map(shrink, (np.array([i or 0 for i in ids], np.int64), f, n.astype(np.int64), place.astype(np.uint32)))), (LOCAL, at, at, shrink_sorted(local), shrink(counts), None, None, float(len(place)))]
+            for x in (keys, lengths, flags, ids):
+                x.clear()
+            return messages(rows).to_batches()
+
+        for batch in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
+            size = 0
             for doc, train, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), byte_list(batch.column(2))):
-                ws = (text or b"").lower().split()
-                ws.append(b"")  # the end
-                ids = np.fromiter([local.setdefault(w, len(local)) for w in ws], np.uint32, len(ws))
-                if len(local) > len(counts):
-                    counts = np.concatenate([counts, np.zeros(max(len(counts), len(local) - len(counts)), np.int64)])
-                if train:
-                    c = np.bincount(ids)
-                    counts[: len(c)] += c
-                rows.append((doc, train + 2 * (doc is None), ids))
-                held += len(text or b"") + 64
+                waiting.append(text or b"")
+                ids.append(doc)
+                flags.append(train + 2 * (doc is None))
+                size += len(waiting[-1]) + 64
+                held += len(waiting[-1]) + 64
+                if size >= SPAN:
+                    digest()
+                    size = 0
                 if held >= chunk_bytes:
-                    yield from messages([texts(), words()]).to_batches()
-                    seq, held, local, counts, rows = seq + 1, 0, {}, np.zeros(1 << 16, np.int64), []
-        if rows:
-            yield from messages([texts(), words()]).to_batches()
+                    yield from chunk()
+                    seq, held, size = seq + 1, 0, 0
+            if waiting:
+                digest()
+        if ids:
+            yield from chunk()
 
     return docs.select("doc_id", (~held_out(F.col("doc_id"), 7, 2)).alias("train"), F.col("text").cast("string").alias("text")).mapInArrow(run, MESSAGE)
 
 
-def spell(n_buckets: int):
-    """A chunk's words to buckets of hashes, equal ranges of them."""
+def spell(n_ranges: int):
+    """A chunk's words to ranges of hashes."""
 
     def run(batches):
         import numpy as np
 
-        edges = np.array([(i << 63) // n_buckets for i in range(1, n_buckets)], np.int64)
+        edges = np.array([(i << 63) // n_ranges for i in range(1, n_ranges)], np.int64)
         for batch in batches:
             for i in range(batch.num_rows):
                 chunk, a, b = (batch.column(x)[i].as_py() for x in ("src", "a", "b"))
-                key, n = grow_sorted(a), grow(b, "<i8")
+                key, n = grow_sorted(a), grow(b)
                 cuts = [0, *np.searchsorted(key, edges).tolist(), len(key)]
                 rows = [(SPELLED, chunk, k, shrink_sorted(key[lo:hi]), shrink(n[lo:hi])) for k, (lo, hi) in enumerate(zip(cuts, cuts[1:])) if hi > lo]
                 yield from messages(rows).to_batches()
@@ -190,238 +304,269 @@ def spell(n_buckets: int):
 
 
 def count(key: tuple, got: pa.Table) -> pa.Table:
-    """Sum a bucket's words, number those of training texts from 1 by hash, and tell each chunk numbers and counts of its words."""
+    """Sum a range's words, number those of training texts by hash, and tell each chunk numbers and counts of its words."""
     import numpy as np
 
-    bucket = key[0].as_py()
+    own = key[0].as_py()
     keys = [grow_sorted(x.as_py()) for x in got.column("a")]
     words, of = np.unique(np.concatenate(keys), return_inverse=True)
-    c = np.bincount(of, np.concatenate([grow(x.as_py(), "<i8") for x in got.column("b")]), len(words)).astype(np.int64)
-    number = np.cumsum(c > 0)
+    c = np.bincount(of, np.concatenate([grow(x.as_py()) for x in got.column("b")]), len(words)).astype(np.int64)
+    number = np.cumsum(c > 0)  # from 1; that of an unknown word is the one before
     rows, at = [], 0
     for src, k in zip(got.column("src").to_pylist(), keys):
-        own = of[at : at + len(k)]
+        mine = of[at : at + len(k)]
         at += len(k)
-        rows.append((KNOWN, bucket, src, shrink_sorted(number[own]), shrink(c[own])))
-    none = [None] * 5
-    return messages([*rows, (COUNTS, bucket, -1, *none, float((c > 0).sum()), float(c.sum())), (ONES, bucket, -1, *none, float((c == 1).sum()), float((c == 2).sum()))])
+        rows.append((KNOWN, own, src, shrink_sorted(number[mine]), shrink(c[mine])))
+    none = [None] * 4
+    return messages([*rows, (COUNTS, own, -1, *none, float((c > 0).sum()), float(c.sum())), (ONES, own, -1, *none, float((c == 1).sum()), float((c == 2).sum()))])
 
 
-def discount_of(once: float, twice: float) -> float:
-    """The usual estimate, from how many cells have one and two customers."""
-    return min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
+class Numbers:
+    """Numbers of training words, from 0 by hash: range k has those from base[k] to base[k + 1]; a class is SPLIT ranges."""
 
+    def __init__(self, sizes: list[int], grid: int):
+        import numpy as np
 
-class Layout:
-    """How pairs of word numbers lie in buckets: bucket (u + w) mod n_buckets, key u * width + w // n_buckets, sorted by both."""
+        self.base, self.grid = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), grid
+        self.low = self.base[::SPLIT]
 
-    def __init__(self, n_words: int, n_buckets: int):
-        self.n_buckets, self.width = n_buckets, n_words // n_buckets + 1
-        self.span = n_words * self.width
+    def ranges(self, number):
+        import numpy as np
 
-    def full(self, u, w):
-        return (u + w) % self.n_buckets * self.span + u * self.width + w // self.n_buckets
+        return np.searchsorted(self.base, number, "right") - 1
 
     def pair(self, key, bucket: int):
-        u, high = key // self.width, key % self.width
-        return u, high * self.n_buckets + (bucket - u) % self.n_buckets
+        row, column = divmod(bucket, self.grid)
+        width = self.low[column + 1] - self.low[column]
+        return self.low[row] + key // width, self.low[column] + key % width
 
 
 class Chunk:
-    """A chunk's texts as pairs of word numbers."""
+    """A chunk's texts as places in its distinct pairs (u, w) of local word numbers; `order` lists pairs of training words by bucket."""
 
-    def __init__(self, texts: list[dict], word, end: int, layout: Layout):
+    def __init__(self, texts: dict, words: list[dict], grid: int):
         import numpy as np
 
-        self.docs, self.flags, self.lengths, self.ids = (np.concatenate([grow(r[x], k) for r in texts]) for x, k in (("a", "<i8"), ("b", "u1"), ("c", "<i8"), ("d", "<u4")))
+        self.docs, self.flags, self.lengths, self.ids = (grow(texts[x], k) for x, k in (("a", "<i8"), ("b", "u1"), ("c", "<i8"), ("d", "<u4")))
         self.starts = self.lengths.cumsum() - self.lengths
-        w = word[self.ids]
-        u = np.concatenate([[end], w[:-1]])
-        u[self.starts] = end
-        self.keys, self.of = np.unique(layout.full(u, w), return_inverse=True)
-
-
-def ask(layout: Layout, end: int):
-    """Of a chunk's texts and words: the words' numbers and counts for later, and its pairs with counts of training texts."""
+        self.count = joined(words, "b")
+        n = len(self.count)
+        u = np.concatenate([[0], self.ids[:-1]]).astype(np.int64)
+        u[self.starts] = 0
+        pairs, self.of = np.unique(u * n + self.ids, return_inverse=True)
+        self.u, self.w = np.divmod(pairs, n)
+        of_word = np.repeat([r["src"] // SPLIT for r in words], [len(grow(r["b"])) for r in words])
+        kept = np.flatnonzero((self.count[self.u] > 0) & (self.count[self.w] > 0))
+        bucket = of_word[self.u[kept]] * grid + of_word[self.w[kept]]
+        by = np.argsort(bucket, kind="stable")
+        self.order, self.bucket = kept[by], bucket[by]
+
+
+def ask(numbers: Numbers):
+    """A chunk's distinct pairs, with counts of training texts, to their buckets."""
 
     def run(key: tuple, got: pa.Table) -> pa.Table:
         import numpy as np
 
-        chunk = key[0].as_py()
-        rows = sorted(got.to_pylist(), key=lambda r: (r["kind"], r["src"]))
-        known = [r for r in rows if r["kind"] == KNOWN]
-        c = np.concatenate([grow(r["b"], "<i8") for r in known])
-        word = np.concatenate([(grow_sorted(r["a"]) - 1) * layout.n_buckets + r["src"] + 1 for r in known])
-        place = next(grow(r["c"], "<u4") for r in rows if r["kind"] == LOCAL)
-        word, c = np.where(c > 0, word, 0)[place], c[place]
-        own = Chunk([r for r in rows if r["kind"] == TEXTS], word, end, layout)
-        rows = [(WORDS, chunk, chunk, shrink(word), shrink(c))]
+        rows, chunk = by_kind(got), key[0].as_py()
+        own = Chunk(rows[TEXTS][0], rows[KNOWN], numbers.grid)
+        word = np.concatenate([grow_sorted(r["a"]) - 1 + numbers.base[r["src"]] for r in rows[KNOWN]])
         train = np.repeat((own.flags & 1).astype(bool), own.lengths)
-        n = np.bincount(own.of[train], minlength=len(own.keys))
-        bucket = own.keys // layout.span
-        cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
-        for lo, hi in zip(cuts, [*cuts[1:], len(bucket)]):
-            rows.append((ASK, chunk, int(bucket[lo]), shrink_sorted(own.keys[lo:hi] % layout.span), shrink(n[lo:hi])))
-        return messages(rows)
+        n = np.bincount(own.of[train], minlength=len(own.u))[own.order]
+        u, w, low = word[own.u[own.order]], word[own.w[own.order]], numbers.low
+        row, column = np.divmod(own.bucket, numbers.grid)
+        keys = (u - low[row]) * (low[column + 1] - low[column]) + w - low[column]
+        cuts = np.flatnonzero(np.diff(own.bucket, prepend=-1)).tolist()
+        return messages([(ASK, chunk, int(own.bucket[lo]), shrink_sorted(keys[lo:hi]), shrink(n[lo:hi])) for lo, hi in zip(cuts, [*cuts[1:], len(keys)])])
 
     return run
 
 
-def parts(bucket: int, u, w, n, t) -> list[tuple]:
-    """A bucket's customers and tables per context and tables per word, to blocks of words."""
+def parts(numbers: Numbers, bucket: int, u, w, t) -> list[tuple]:
+    """A bucket's tables per context and per word, chain by chain, to the ranges of words."""
     import numpy as np
 
-    us, at_u = np.unique(u, return_inverse=True)
-    ws, at_w = np.unique(w, return_inverse=True)
-    customers, tables, below = np.bincount(at_u, n).astype(np.int64), np.bincount(at_u, t).astype(np.int64), np.bincount(at_w, t).astype(np.int64)
     rows = []
-    for block in np.union1d(us // BLOCK, ws // BLOCK).tolist():
-        a, b = np.searchsorted(us, [block * BLOCK, (block + 1) * BLOCK])
-        c, d = np.searchsorted(ws, [block * BLOCK, (block + 1) * BLOCK])
-        rows.append((PART, bucket, block, shrink_sorted(us[a:b]), shrink(customers[a:b]), shrink(tables[a:b]), shrink_sorted(ws[c:d]), shrink(below[c:d])))
+    for kind, x in ((PART_U, u), (PART_W, w)):
+        own, at = np.unique(x, return_inverse=True)
+        sums = np.array([np.bincount(at, line, len(own)) for line in t]).astype(np.int64).reshape(CHAINS, -1)
+        of = numbers.ranges(own)
+        cuts = np.flatnonzero(np.diff(of, prepend=-1)).tolist()
+        rows += [(kind, bucket, int(of[lo]), shrink_sorted(own[lo:hi] - numbers.base[of[lo]]), shrink(sums[:, lo:hi].ravel())) for lo, hi in zip(cuts, [*cuts[1:], len(own)])]
     return rows
 
 
-def merge(layout: Layout):
-    """Cells of a bucket from all asks, each first at one table."""
+def merge(numbers: Numbers):
+    """Cells of a bucket from all asks, each at one table, and each ask as places in them."""
 
     def run(key: tuple, asks: pa.Table) -> pa.Table:
         import numpy as np
 
-        keys, of = np.unique(np.concatenate([grow_sorted(x.as_py()) for x in asks.column("a")]), return_inverse=True)
-        n = np.bincount(of, np.concatenate([grow(x.as_py(), "<i8") for x in asks.column("b")])).astype(np.int64)
-        t = np.where(n > 0, SAMPLES, 0)
-        bucket = key[0].as_py()
-        u, w = layout.pair(keys, bucket)
-        return messages([(STATE, bucket, bucket, shrink_sorted(keys), shrink(n), shrink(t), None, None, float((n == 1).sum()), float((n == 2).sum())), *parts(bucket, u, w, n, t)])
+        bucket, rows = key[0].as_py(), asks.to_pylist()
+        keys, of = np.unique(joined(rows, "a", grow_sorted), return_inverse=True)
+        n = np.bincount(of, joined(rows, "b"), len(keys)).astype(np.int64)
+        t = np.broadcast_to(np.minimum(n, 1), (CHAINS, len(n)))
+        out, at = [(STATE, bucket, bucket, shrink_sorted(keys), shrink(n), shrink(t.ravel()), None, float((n == 1).sum()), float((n == 2).sum()))], 0
+        for r in rows:
+            size = len(grow(r["b"]))
+            out.append((ASKED, r["src"], bucket, shrink_sorted(of[at : at + size])))
+            at += size
+        return messages([*out, *parts(numbers, bucket, *numbers.pair(keys, bucket), t)])
 
     return run
 
 
-def parent(n_dishes: int, discount: float, tables_so_far: float, seed: int):
-    """Seat the parent's customers of a block of words; answer each bucket for its contexts and words."""
+def parent(numbers: Numbers, discount: float, own_tables: list[float], seed: int):
+    """Seat the parent's customers of a range of words; answer buckets, or chunks where they ask."""
 
     def run(key: tuple, got: pa.Table) -> pa.Table:
         import numpy as np
 
-        block = key[0].as_py()
-        customers, tables, below = np.zeros(BLOCK, np.int64), np.zeros(BLOCK, np.int64), np.zeros(BLOCK, np.int64)
-        asked = []
-        for src, a, b, c, d, e in zip(*(got.column(x).to_pylist() for x in ("src", "a", "b", "c", "d", "e"))):
-            u, w = grow_sorted(a) - block * BLOCK, grow_sorted(d) - block * BLOCK
-            customers[u] += grow(b, "<i8")
-            tables[u] += grow(c, "<i8")
-            below[w] += grow(e, "<i8")
-            asked.append((src, u, w))
-        mean = below / SAMPLES
-        own = seat(np.ceil(mean), np.full(BLOCK, (STRENGTH + discount * tables_so_far) / n_dishes), discount, np.random.default_rng([seed, block])) / SAMPLES
-        own = np.minimum(own, mean)
-        rest = mean - discount * own
-        rows = [(REPLY, block, src, shrink(customers[u]), shrink(tables[u]), shrink(rest[w].astype("<f8"))) for src, u, w in asked]
-        return messages([*rows, (TOTAL, block, -1, None, None, None, None, None, float(mean.sum()), float(own.sum()))])
+        me, rows = key[0].as_py(), by_kind(got)
+        m, n_dishes = int(numbers.base[me + 1] - numbers.base[me]), int(numbers.base[-1]) + 1
+        tables, below = np.zeros((CHAINS, m), np.int64), np.zeros((CHAINS, m), np.int64)
+        for kind, sums in ((PART_U, tables), (PART_W, below)):
+            for r in rows.get(kind, []):
+                sums[:, grow_sorted(r["a"])] += grow(r["b"]).reshape(CHAINS, -1)
+        word = (np.arange(m) + numbers.base[me]).astype(np.uint64)
+        own = np.array([seat(x, (STRENGTH + discount * own_tables[c]) / n_dishes, discount / n_dishes, discount, keyed(word, word, c, seed)) for c, x in enumerate(below)]).reshape(CHAINS, m)
+        out = [(TOTAL, me, c, *[None] * 4, float(below[c].sum()), float(own[c].sum())) for c in range(CHAINS)]
+        if KNOWN in rows:  # the last time
+            for r in rows[KNOWN]:
+                at, c = grow_sorted(r["a"]) - 1, grow(r["b"])
+                sums = [np.where(c > 0, x[:, np.maximum(at, 0)], 0) if m else np.zeros((CHAINS, len(c)), np.int64) for x in (tables, below, own)]
+                out.append((WORDS, me, r["src"], shrink(sums[0].ravel()), shrink(c), shrink(sums[1].ravel()), shrink(sums[2].ravel())))
+            return messages(out)
+        for r in rows.get(PART_U, []):
+            out.append((REPLY_U, me, r["src"], shrink(tables[:, grow_sorted(r["a"])].ravel())))
+        for r in rows.get(PART_W, []):
+            at = grow_sorted(r["a"])
+            out.append((REPLY_W, me, r["src"], shrink(below[:, at].ravel()), shrink(own[:, at].ravel())))
+        return messages(out)
 
     return run
 
 
-class Cells:
-    """A bucket's cells with what the blocks of words answered."""
+def keyed(u, w, chain: int, seed: int):
+    import numpy as np
 
-    def __init__(self, got: pa.Table, bucket: int, layout: Layout, discount: float, up: tuple[float, float, float, int]):
-        import numpy as np
+    with np.errstate(over="ignore"):
+        return mixed(mixed(u.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03) + np.uint64(chain * 1000003 + seed)) + w.astype(np.uint64))
 
-        total, tables, up_discount, n_dishes = up
-        rows = sorted(got.to_pylist(), key=lambda r: (r["kind"], r["src"]))
-        state = next(r for r in rows if r["kind"] == STATE)
-        replies = [r for r in rows if r["kind"] == REPLY]
-        self.asks = [r for r in rows if r["kind"] == ASK]
-        self.keys, self.n, self.t = grow_sorted(state["a"]), grow(state["b"], "<i8"), grow(state["c"], "<i8")
-        self.u, self.w = layout.pair(self.keys, bucket)
-        customers, below, rest = (np.concatenate([grow(r[x], k) for r in replies]) for x, k in (("a", "<i8"), ("b", "<i8"), ("c", "<f8")))
-        at_u, at_w = np.unique(self.u, return_inverse=True)[1], np.unique(self.w, return_inverse=True)[1]
-        p = (rest + (STRENGTH + up_discount * tables) / n_dishes) / (STRENGTH + total)
-        self.new = (STRENGTH + discount * below[at_u] / SAMPLES) * p[at_w]
-        self.customers = customers[at_u]
 
+class Parent:
+    """The parent's sums over all words, chain by chain."""
 
-def sample(layout: Layout, discount: float, up: tuple[float, float, float, int], seed: int):
-    """One round of a bucket: its cells' tables anew, and their sums to the blocks of words."""
+    def __init__(self, totals: list[tuple[float, float]], discount: float, n_dishes: int):
+        self.totals, self.discount, self.n_dishes = totals, discount, n_dishes
 
-    def run(key: tuple, got: pa.Table) -> pa.Table:
+    def p(self, chain: int, below, own, less=0.0):
+        """The probability of words with `below` customers at `own` tables, after `less` of the customers have left."""
         import numpy as np
 
-        bucket = key[0].as_py()
-        own = Cells(got, bucket, layout, discount, up)
-        t = seat(own.n, own.new, discount, np.random.default_rng([seed, bucket]))
-        return messages([(STATE, bucket, bucket, shrink_sorted(own.keys), shrink(own.n), shrink(t)), *parts(bucket, own.u, own.w, own.n, t)])
+        customers, tables = self.totals[chain]
+        left = below - less
+        return (left - self.discount * np.minimum(own, left) + (STRENGTH + self.discount * tables) / self.n_dishes) / (STRENGTH + customers - less)
 
-    return run
 
-
-def answer(layout: Layout, discount: float, up: tuple[float, float, float, int]):
-    """log10 of the predictive probability of each pair asked."""
+def sample(numbers: Numbers, discount: float, up: Parent, seed: int, last: bool):
+    """One round of a bucket: its cells' tables anew, and their sums to the ranges; the last time, answers instead of cells."""
 
     def run(key: tuple, got: pa.Table) -> pa.Table:
         import numpy as np
 
-        bucket = key[0].as_py()
-        own = Cells(got, bucket, layout, discount, up)
-        p = np.log10((own.n - discount * own.t / SAMPLES + own.new) / (STRENGTH + own.customers)).astype("<f4")
-        return messages([(ANSWER, bucket, r["src"], shrink(p[np.searchsorted(own.keys, grow_sorted(r["a"]))])) for r in own.asks])
+        bucket, rows = key[0].as_py(), by_kind(got)
+        state = rows[STATE][0]
+        keys, n = grow_sorted(state["a"]), grow(state["b"])
+        t = grow(state["c"]).reshape(CHAINS, -1).copy()
+        u, w = numbers.pair(keys, bucket)
+        tables, below, own = by_chain(rows[REPLY_U], "a"), by_chain(rows[REPLY_W], "a"), by_chain(rows[REPLY_W], "b")
+        many = np.flatnonzero(n > 1)
+        at_u, at_w = np.unique(u, return_inverse=True)[1][many], np.unique(w, return_inverse=True)[1][many]
+        for c in range(CHAINS):
+            p = up.p(c, below[c, at_w], own[c, at_w], t[c, many])
+            t[c, many] = seat(n[many], (STRENGTH + discount * (tables[c, at_u] - t[c, many])) * p, discount * p, discount, keyed(u[many], w[many], c, seed))
+        out = parts(numbers, bucket, u, w, t)
+        if not last:
+            return messages([(STATE, bucket, bucket, state["a"], state["b"], shrink(t.ravel())), *out])
+        for r in rows[ASKED]:
+            at = grow_sorted(r["a"])
+            out.append((ANSWER, bucket, r["src"], shrink(n[at]), shrink(t[:, at].ravel())))
+        return messages(out)
 
     return run
 
 
-def score(docs: DataFrame, chunk_bytes: int = CHUNK, discounts: tuple[float, float] | None = None) -> DataFrame:
+def score(docs: DataFrame, chunk_bytes: int = CHUNK, cells: int = CELLS, discounts: tuple[float, float] | None = None, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row.
 
     discounts: of contexts and of the parent, in place of the estimates from counts of one and two.
     """
-    coded = materialize(encoded(docs, chunk_bytes), "coded")
-    local = coded.filter(F.col("kind") == LOCAL)
-    n_buckets = max(1, local.count())
-    counted = materialize(local.select("src", "a", "b").mapInArrow(spell(n_buckets), MESSAGE).groupBy("dst").applyInArrow(count, MESSAGE), "counts")
-    all_ = counted.filter(F.col("kind") == COUNTS).agg(F.sum("x").alias("words"), F.max("x").alias("most"), F.sum("y").alias("n")).first()
-    ones = counted.filter(F.col("kind") == ONES).agg(F.sum("x").alias("once"), F.sum("y").alias("twice")).first()
-    n_distinct, n_train = int(all_["words"] or 0), int(all_["n"] or 0)
+    spark = docs.sparkSession
+    of = lambda df, *kinds: df.filter(F.col("kind").isin(*kinds))
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        out = materialize(df, name)
+        release(spark)  # the files of its shuffles
+        return out
+
+    coded = kept(encoded(docs, chunk_bytes), "coded")
+    grid = max(1, ceil(sqrt((of(coded, LOCAL).agg(F.sum("x")).first()[0] or 0) / cells)))
+    n_ranges = grid * SPLIT
+    counted = kept(of(coded, LOCAL).select("src", "a", "b").mapInArrow(spell(n_ranges), MESSAGE).groupBy("dst").applyInArrow(count, MESSAGE), "counts")
+    sizes, n_train = [0] * n_ranges, 0
+    for r in of(counted, COUNTS).select("src", "x", "y").collect():  # a row per range
+        sizes[r["src"]] = int(r["x"])
+        n_train += int(r["y"])
+    ones = of(counted, ONES).agg(F.sum("x").alias("once"), F.sum("y").alias("twice")).first()
+    n_distinct, numbers = sum(sizes), Numbers(sizes, grid)
     up_discount = discounts[1] if discounts else discount_of(ones["once"] or 0, ones["twice"] or 0)
-    # a word's number interleaves buckets; 0 is for all unknown words, and the end's hash makes it the first of the first bucket
-    end, layout = int(n_train > 0), Layout(int(all_["most"] or 0) * n_buckets + 2, n_buckets)
-    texts = coded.filter(F.col("kind") == TEXTS)
-    places = coded.filter(F.col("kind") == LOCAL).withColumn("a", F.lit(None).cast("binary")).withColumn("b", F.lit(None).cast("binary"))
-    told = texts.union(places).union(counted.filter(F.col("kind") == KNOWN))
-    asked = materialize(told.groupBy("dst").applyInArrow(ask(layout, end), MESSAGE), "asks")
-    discard(counted)
-    asks = asked.filter(F.col("kind") == ASK)
-    state = materialize(asks.groupBy("dst").applyInArrow(merge(layout), MESSAGE), "cells")
-    ones = state.filter(F.col("kind") == STATE).agg(F.sum("x").alias("once"), F.sum("y").alias("twice")).first()
+    told = of(coded, TEXTS).union(of(counted, KNOWN))
+    state = kept(told.groupBy("dst").applyInArrow(ask(numbers), MESSAGE).groupBy("dst").applyInArrow(merge(numbers), MESSAGE), "cells")
+    asked = of(state, ASKED)
+    first = state
+    ones = of(state, STATE).agg(F.sum("x").alias("once"), F.sum("y").alias("twice")).first()
     discount = discounts[0] if discounts else discount_of(ones["once"] or 0, ones["twice"] or 0)
-
-    def blocks(state: DataFrame, tables: float, seed: int):
-        replies = materialize(state.filter(F.col("kind") == PART).groupBy("dst").applyInArrow(parent(n_distinct + 1, up_discount, tables, seed), MESSAGE), "blocks")
-        total = replies.filter(F.col("kind") == TOTAL).agg(F.sum("x").alias("x"), F.sum("y").alias("y")).first()
-        cells = state.filter(F.col("kind") == STATE).union(replies.filter(F.col("kind") == REPLY))
-        return cells, replies, (total["x"] or 0.0, total["y"] or 0.0, up_discount, n_distinct + 1)
-
-    cells, replies, up = blocks(state, float(n_distinct), 1)
-    for turn in range(ROUNDS):
-        after = materialize(cells.groupBy("dst").applyInArrow(sample(layout, discount, up, 10 + turn), MESSAGE), "cells")
-        discard(state, replies)
+    own_tables = [float(n_distinct)] * CHAINS
+
+    def above(state: DataFrame, seed: int, *more: DataFrame) -> tuple[DataFrame, Parent]:
+        got = of(state, PART_U, PART_W)
+        for x in more:
+            got = got.union(x)
+        replies = kept(got.groupBy("dst").applyInArrow(parent(numbers, up_discount, own_tables, seed), MESSAGE), "ranges")
+        totals = {r["dst"]: (r["x"], r["y"]) for r in of(replies, TOTAL).groupBy("dst").agg(F.sum("x").alias("x"), F.sum("y").alias("y")).collect()}
+        totals = [totals.get(c, (0.0, 0.0)) for c in range(CHAINS)]
+        own_tables[:] = [y for _, y in totals]
+        return replies, Parent(totals, up_discount, n_distinct + 1)
+
+    for turn in range(rounds):
+        replies, up = above(state, 2 * turn)
+        met = of(state, STATE).union(of(replies, REPLY_U, REPLY_W))
+        met = met.union(asked) if turn + 1 == rounds else met
+        after = kept(met.groupBy("dst").applyInArrow(sample(numbers, discount, up, 2 * turn + 1, turn + 1 == rounds), MESSAGE), "cells")
+        discard(replies, *([state] if state is not first else []))
         state = after
-        cells, replies, up = blocks(state, up[1], 2 + turn)
-    answers = cells.union(asks).groupBy("dst").applyInArrow(answer(layout, discount, up), MESSAGE)
-    told = texts.union(asked.filter(F.col("kind") == WORDS)).union(answers)
+    discard(first)
+    wanted = of(counted, KNOWN).select("kind", F.col("dst").alias("src"), F.col("src").alias("dst"), "a", "b", "c", "d", "x", "y")
+    replies, up = above(state, 2 * rounds, wanted)
+    told = of(coded, TEXTS).union(of(replies, WORDS)).union(of(state, ANSWER))
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
     def judge(key: tuple, got: pa.Table) -> pa.Table:
         import numpy as np
 
-        rows = sorted(got.to_pylist(), key=lambda r: (r["kind"], r["src"]))
-        words = next(r for r in rows if r["kind"] == WORDS)
-        word, c = grow(words["a"], "<i8"), grow(words["b"], "<i8")
-        own = Chunk([r for r in rows if r["kind"] == TEXTS], word, end, layout)
-        p = np.concatenate([grow(r["a"], "<f4") for r in rows if r["kind"] == ANSWER]).astype(np.float64)
-        base = np.log10((c + 1) / (n_train + n_distinct + 1))
-        known, base_score, total = (np.add.reduceat(x, own.starts) for x in ((c[own.ids] > 0).astype(np.int64), base[own.ids], p[own.of]))
+        rows = by_kind(got)
+        own = Chunk(rows[TEXTS][0], rows[WORDS], grid)
+        tables, below, tops = (by_chain(rows[WORDS], x) for x in "acd")
+        n, t = np.zeros(len(own.u), np.int64), np.zeros((CHAINS, len(own.u)), np.int64)
+        n[own.order], t[:, own.order] = joined(rows.get(ANSWER, []), "a"), by_chain(rows.get(ANSWER, []), "b")
+        p = np.zeros(len(own.u))
+        for c in range(CHAINS):
+            top = up.p(c, below[c], tops[c])
+            p += (n - discount * t[c] + (STRENGTH + discount * tables[c, own.u]) * top[own.w]) / CHAINS
+        p = np.log10(p / (STRENGTH + own.count[own.u]))
+        base = np.log10((own.count + 1) / (n_train + n_distinct + 1))
+        known, base_score, total = (np.add.reduceat(x, own.starts) for x in ((own.count[own.ids] > 0).astype(np.int64), base[own.ids], p[own.of]))
         doc = pa.array(own.docs, mask=own.flags >= 2)
         cols = [doc, (own.flags & 1) == 0, own.lengths, known, np.full(len(doc), n_train, np.int64), base_score, total]
         return pa.table([x if isinstance(x, pa.Array) else pa.array(x) for x in cols], names=[x.split()[0] for x in schema.split(", ")])
