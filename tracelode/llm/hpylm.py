@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import byte_list, discard, held_out, materialize, mixed, release
 
-CHUNK, CELLS, SPLIT, CHAINS, ROUNDS, SPAN = 16 << 20, 1 << 20, 16, 3, 3, 1 << 20
+CHUNK, CELLS, SPLIT, CHAINS, ROUNDS, SPAN, TRIES = 16 << 20, 1 << 20, 16, 3, 3, 1 << 20, 1 << 17
 STRENGTH = 1.0
 TEXTS, LOCAL, SPELLED, KNOWN, COUNTS, ONES, ASK, ASKED, STATE, PART_U, PART_W, REPLY_U, REPLY_W, TOTAL, WORDS, ANSWER = range(16)
 MESSAGE = "kind int, src long, dst long, a binary, b binary, c binary, d binary, x double, y double"
@@ -134,55 +134,95 @@ def seat(n, a, b, discount: float, key):
 
     Customers are seated by a plain Pitman-Yor process of some strength, in which the next customer to open a table is found at once
     by its distribution function; the ratios of weights accept or reject the seating as it goes, so the strength only changes the
-    cost. Work per draw follows tables, not customers. key: 64-bit numbers, one per cell; the draw depends on nothing else.
+    cost. Work per seating follows tables, not customers. Seatings are numbered, and a cell takes the first accepted; where few cells
+    are left, many of their seatings are tried together. key: 64-bit numbers, one per cell; the draw depends on nothing else.
     """
     import numpy as np
 
     n = np.asarray(n, np.int64)
-    out = (n > 0).astype(np.int64)
-    at = np.flatnonzero(n > 1)
-    d = max(discount, 1e-3)
-    n, a, b = n[at].astype(np.float64), np.broadcast_to(np.asarray(a, np.float64), out.shape)[at], np.broadcast_to(np.asarray(b, np.float64), out.shape)[at]
-    key = np.asarray(key, np.uint64)[at]
-    about = np.minimum((n ** -(1 + d) + (1 + a / d) ** -(1 + d)) ** (-1 / (1 + d)), 1 + a * np.log((n + a) / (1 + a)))  # the mean, roughly
-    strength = np.maximum(a - (d - b) * about, np.minimum(a, 0.2) - d)
+    out, d = (n > 0).astype(np.int64), max(discount, 1e-3)
+    a, b, key = (np.broadcast_to(np.asarray(x, kind), out.shape) for x, kind in ((a, np.float64), (b, np.float64), (key, np.uint64)))
+    many = np.flatnonzero(n > 1)
+    for lo in range(0, len(many), TRIES):
+        at = many[lo : lo + TRIES]
+        nn, aa, bb, kk = n[at].astype(np.float64), a[at], b[at], key[at]
+        about = np.minimum((nn ** -(1 + d) + (1 + aa / d) ** -(1 + d)) ** (-1 / (1 + d)), 1 + aa * np.log((nn + aa) / (1 + aa)))  # the mean, roughly
+        strength = np.maximum(aa - (d - bb) * about, np.minimum(aa, 1 / np.log(nn + 1)) - d)
+        todo, tried = np.arange(len(at)), 0
+        while len(todo):
+            k = max(1, TRIES // 8 // len(todo))
+            each = np.repeat(todo, k)
+            with np.errstate(over="ignore"):
+                tickets = mixed(kk[each] + np.tile(np.arange(tried, tried + k, dtype=np.uint64), len(todo)) * np.uint64(0xA0761D6478BD642F))
+            t = seatings(nn[each], aa[each], bb[each], d, strength[each], tickets).reshape(-1, k)
+            got = (t > 0).argmax(1)
+            t = t[np.arange(len(todo)), got]
+            out[at[todo[t > 0]]] = t[t > 0]
+            todo, tried = todo[t == 0], tried + k
+    return out
+
+
+def seatings(n, a, b, d: float, strength, key):
+    """One seating for each entry: its tables, or 0 where it is rejected."""
+    import numpy as np
+
+    out, at = np.zeros(len(n), np.int64), np.arange(len(n))
     turn_at = np.maximum(1.0, np.ceil((a - strength) / np.maximum(d - b, 1e-12)))  # from here on a new table weighs less than proposed
-    m, t, turn = np.ones(len(at)), np.ones(len(at)), np.zeros(len(at), np.uint64)
+    end = log_gamma(n + strength)
+    m, t, turn = np.ones(len(n)), np.ones(len(n)), 0
     while len(at):
-        turn += np.uint64(2)
-        u, v = np.log(uniform(key, turn)), np.log(uniform(key, turn + np.uint64(1)))
-        free, own = m - t * d, m + strength
-        start = log_gamma(free) - log_gamma(own)
-        ended = u < log_gamma(n - t * d) - log_gamma(n + strength) - start  # nobody else opens a table
-        short = ended & (t < turn_at)
+        turn += 2
+        u, v = np.log(uniform(key, np.uint64(turn))), np.log(uniform(key, np.uint64(turn + 1)))
+        td = t * d
+        start = log_gamma(m - td) - log_gamma(m + strength)
+        ended = u < log_gamma(n - td) - end - start  # nobody else opens a table
         accept = np.zeros(len(at))
-        if short.any():
+        short = np.flatnonzero(ended & (t < turn_at))
+        if short.size:
             tt, k, aa, bb = t[short], (turn_at - t)[short], a[short], b[short]
             up = log_rising(strength[short] / d + tt, k) + k * np.log(d)
             grows = bb > 1e-9 * aa
             bs = np.where(grows, bb, aa)
             accept[short] = up - np.where(grows, log_rising(aa / bs + tt, k) + k * np.log(bs), k * np.log(aa))
-        opens = ~ended
-        accept[opens] = np.minimum(0.0, np.log(a[opens] + b[opens] * t[opens]) - np.log(strength[opens] + d * t[opens]))
-        if opens.any():  # the first customer by whom somebody has opened one
-            low, high, s, td, st = np.ones(opens.sum()), (n - m)[opens], start[opens], (t * d)[opens], strength[opens]
-            uu, mm = u[opens], m[opens]
-            while (todo := np.flatnonzero(low < high)).size:
-                mid = np.floor((low[todo] + high[todo]) / 2)
-                x = mm[todo] + mid
-                hit = log_gamma(x - td[todo]) - log_gamma(x + st[todo]) - s[todo] <= uu[todo]
-                high[todo[hit]], low[todo[~hit]] = mid[hit], mid[~hit] + 1
-            m[opens] += low
+        opens = np.flatnonzero(~ended)
+        if opens.size:
+            tt = t[opens]
+            accept[opens] = np.minimum(0.0, np.log(a[opens] + b[opens] * tt) - np.log(strength[opens] + d * tt))
+            opens = opens[v[opens] <= accept[opens]]
+            m[opens] += next_to_open(u[opens] + start[opens], m[opens], td[opens], strength[opens], n[opens])
             t[opens] += 1
         good = v <= accept
         done = ended & good
         out[at[done]] = t[done].astype(np.int64)
-        m[~good], t[~good] = 1.0, 1.0
-        left = ~done
-        at, n, a, b, key, strength, turn_at, m, t, turn = (x[left] for x in (at, n, a, b, key, strength, turn_at, m, t, turn))
+        left = good & ~ended
+        at, n, a, b, key, strength, turn_at, end, m, t = (x[left] for x in (at, n, a, b, key, strength, turn_at, end, m, t))
     return out
 
 
+def next_to_open(level, m, td, strength, n):
+    """The least j in 1 .. n - m by which the log of the chance that nobody has opened falls to `level` (less its start).
+
+    A power law names a place, which is nearly always right; halving finds the rest.
+    """
+    import numpy as np
+
+    fallen = lambda i, j: log_gamma(m[i] + j - td[i]) - log_gamma(m[i] + j + strength[i]) <= level[i]
+    all_ = np.arange(len(m))
+    high = n - m
+    low = np.ones(len(m))
+    middle = (strength - td - 1) / 2
+    guess = np.exp(np.minimum(-level / (strength + td), 690.0)) - m - middle
+    guess = np.minimum(np.maximum(np.ceil(guess), 1.0), high)
+    hit, before = fallen(all_, guess), fallen(all_, np.maximum(guess - 1, 0)) & (guess > 1)
+    high = np.where(before, guess - 1, np.where(hit, guess, high))
+    low = np.where(hit & ~before, guess, np.where(hit, low, np.minimum(guess + 1, high)))
+    while (todo := np.flatnonzero(low < high)).size:
+        mid = np.floor((low[todo] + high[todo]) / 2)
+        hit = fallen(todo, mid)
+        high[todo[hit]], low[todo[~hit]] = mid[hit], mid[~hit] + 1
+    return low
+
+
 def discount_of(once: float, twice: float) -> float:
     """The usual estimate, from how many cells have one and two customers."""
     return min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
@@ -429,7 +469,8 @@ def parent(numbers: Numbers, discount: float, own_tables: list[float], seed: int
             for r in rows.get(kind, []):
                 sums[:, grow_sorted(r["a"])] += grow(r["b"]).reshape(CHAINS, -1)
         word = (np.arange(m) + numbers.base[me]).astype(np.uint64)
-        own = np.array([seat(x, (STRENGTH + discount * own_tables[c]) / n_dishes, discount / n_dishes, discount, keyed(word, word, c, seed)) for c, x in enumerate(below)]).reshape(CHAINS, m)
+        open_ = np.repeat([(STRENGTH + discount * x) / n_dishes for x in own_tables], m)
+        own = seat(below.ravel(), open_, discount / n_dishes, discount, np.concatenate([keyed(word, word, c, seed) for c in range(CHAINS)])).reshape(CHAINS, m)
         out = [(TOTAL, me, c, *[None] * 4, float(below[c].sum()), float(own[c].sum())) for c in range(CHAINS)]
         if KNOWN in rows:  # the last time
             for r in rows[KNOWN]:
@@ -483,9 +524,10 @@ def sample(numbers: Numbers, discount: float, up: Parent, seed: int, last: bool)
         tables, below, own = by_chain(rows[REPLY_U], "a"), by_chain(rows[REPLY_W], "a"), by_chain(rows[REPLY_W], "b")
         many = np.flatnonzero(n > 1)
         at_u, at_w = np.unique(u, return_inverse=True)[1][many], np.unique(w, return_inverse=True)[1][many]
-        for c in range(CHAINS):
-            p = up.p(c, below[c, at_w], own[c, at_w], t[c, many])
-            t[c, many] = seat(n[many], (STRENGTH + discount * (tables[c, at_u] - t[c, many])) * p, discount * p, discount, keyed(u[many], w[many], c, seed))
+        p = np.array([up.p(c, below[c, at_w], own[c, at_w], t[c, many]) for c in range(CHAINS)])
+        open_ = (STRENGTH + discount * (tables[:, at_u] - t[:, many])) * p
+        tickets = np.concatenate([keyed(u[many], w[many], c, seed) for c in range(CHAINS)])
+        t[:, many] = seat(np.tile(n[many], CHAINS), open_.ravel(), discount * p.ravel(), discount, tickets).reshape(CHAINS, -1)
         out = parts(numbers, bucket, u, w, t)
         if not last:
             return messages([(STATE, bucket, bucket, state["a"], state["b"], shrink(t.ravel())), *out])
@@ -510,10 +552,16 @@ def score(docs: DataFrame, chunk_bytes: int = CHUNK, cells: int = CELLS, discoun
         release(spark)  # the files of its shuffles
         return out
 
+    def groups(df: DataFrame, n: int):
+        """Groups by receiver, n of them, over as many tasks as that allows; their bytes say little of their work."""
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism, n // 32)
+        return df.repartition(max(1, min(n, tasks)), "dst").groupBy("dst")
+
     coded = kept(encoded(docs, chunk_bytes), "coded")
+    n_chunks = of(coded, LOCAL).count()
     grid = max(1, ceil(sqrt((of(coded, LOCAL).agg(F.sum("x")).first()[0] or 0) / cells)))
     n_ranges = grid * SPLIT
-    counted = kept(of(coded, LOCAL).select("src", "a", "b").mapInArrow(spell(n_ranges), MESSAGE).groupBy("dst").applyInArrow(count, MESSAGE), "counts")
+    counted = kept(groups(of(coded, LOCAL).select("src", "a", "b").mapInArrow(spell(n_ranges), MESSAGE), n_ranges).applyInArrow(count, MESSAGE), "counts")
     sizes, n_train = [0] * n_ranges, 0
     for r in of(counted, COUNTS).select("src", "x", "y").collect():  # a row per range
         sizes[r["src"]] = int(r["x"])
@@ -522,7 +570,7 @@ def score(docs: DataFrame, chunk_bytes: int = CHUNK, cells: int = CELLS, discoun
     n_distinct, numbers = sum(sizes), Numbers(sizes, grid)
     up_discount = discounts[1] if discounts else discount_of(ones["once"] or 0, ones["twice"] or 0)
     told = of(coded, TEXTS).union(of(counted, KNOWN))
-    state = kept(told.groupBy("dst").applyInArrow(ask(numbers), MESSAGE).groupBy("dst").applyInArrow(merge(numbers), MESSAGE), "cells")
+    state = kept(groups(groups(told, n_chunks).applyInArrow(ask(numbers), MESSAGE), grid * grid).applyInArrow(merge(numbers), MESSAGE), "cells")
     asked = of(state, ASKED)
     first = state
     ones = of(state, STATE).agg(F.sum("x").alias("once"), F.sum("y").alias("twice")).first()
@@ -533,7 +581,7 @@ def score(docs: DataFrame, chunk_bytes: int = CHUNK, cells: int = CELLS, discoun
         got = of(state, PART_U, PART_W)
         for x in more:
             got = got.union(x)
-        replies = kept(got.groupBy("dst").applyInArrow(parent(numbers, up_discount, own_tables, seed), MESSAGE), "ranges")
+        replies = kept(groups(got, n_ranges).applyInArrow(parent(numbers, up_discount, own_tables, seed), MESSAGE), "ranges")
         totals = {r["dst"]: (r["x"], r["y"]) for r in of(replies, TOTAL).groupBy("dst").agg(F.sum("x").alias("x"), F.sum("y").alias("y")).collect()}
         totals = [totals.get(c, (0.0, 0.0)) for c in range(CHAINS)]
         own_tables[:] = [y for _, y in totals]
@@ -543,7 +591,7 @@ def score(docs: DataFrame, chunk_bytes: int = CHUNK, cells: int = CELLS, discoun
         replies, up = above(state, 2 * turn)
         met = of(state, STATE).union(of(replies, REPLY_U, REPLY_W))
         met = met.union(asked) if turn + 1 == rounds else met
-        after = kept(met.groupBy("dst").applyInArrow(sample(numbers, discount, up, 2 * turn + 1, turn + 1 == rounds), MESSAGE), "cells")
+        after = kept(groups(met, grid * grid).applyInArrow(sample(numbers, discount, up, 2 * turn + 1, turn + 1 == rounds), MESSAGE), "cells")
         discard(replies, *([state] if state is not first else []))
         state = after
     discard(first)
@@ -571,7 +619,7 @@ def score(docs: DataFrame, chunk_bytes: int = CHUNK, cells: int = CELLS, discoun
         cols = [doc, (own.flags & 1) == 0, own.lengths, known, np.full(len(doc), n_train, np.int64), base_score, total]
         return pa.table([x if isinstance(x, pa.Array) else pa.array(x) for x in cols], names=[x.split()[0] for x in schema.split(", ")])
 
-    return told.groupBy("dst").applyInArrow(judge, schema)
+    return groups(told, n_chunks).applyInArrow(judge, schema)
 
 
 def query(docs: DataFrame) -> DataFrame:
