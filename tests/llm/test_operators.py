@@ -481,7 +481,7 @@ def slow_log_probabilities(texts, train, d, d0):
             below = Counter()
             for (_, w), k in t.items():
                 below[w] += k
-            own = {w: int(hpylm.seat([k], [(s + d0 * own_total) / dishes], d0 / dishes, d0, one(number[w], number[w], c, seed))[0]) for w, k in below.items()}
+            own = {w: int(hpylm.seat([k], [(s + d0 * own_total) / dishes], d0, one(number[w], number[w], c, seed))[0]) for w, k in below.items()}
             return below, own, sum(own.values())
 
         def up(w, less=0):
@@ -493,7 +493,8 @@ def slow_log_probabilities(texts, train, d, d0):
             tables = Counter()
             for (u, _), k in t.items():
                 tables[u] += k
-            t = {(u, w): int(hpylm.seat([n], [(s + d * (tables[u] - t[u, w])) * up(w, t[u, w])], d * up(w, t[u, w]), d, one(number[u], number[w], c, 2 * turn + 1))[0]) for (u, w), n in pairs.items()}
+            weight = {u: hpylm.openings(np.array([float(k)]), d, np.array([number[u]]), c, 2 * turn + 1)[0] for u, k in tables.items()}
+            t = {(u, w): int(hpylm.seat([n], [weight[u] * up(w, t[u, w])], d, one(number[u], number[w], c, 2 * turn + 1))[0]) for (u, w), n in pairs.items()}
         below, own, own_total = parent(2 * hpylm.ROUNDS)
         tables = Counter()
         for (u, _), k in t.items():
@@ -556,10 +557,11 @@ def expected_tables(n, new, d):
     return sum(p * t for p, t in all_) / sum(p for p, _ in all_)
 
 
-def exact_tables(n, new, d):
-    """The same mean from generalised Stirling numbers, for larger n."""
-    log = np.full(n + 1, -np.inf)
-    log[1], t = 0.0, np.arange(n + 1)
+def exact_tables(n, new, d, most=None):
+    """The same mean from generalised Stirling numbers, for larger n; `most` bounds the tables looked at."""
+    k = min(n, most or n)
+    log = np.full(k + 1, -np.inf)
+    log[1], t = 0.0, np.arange(k + 1)
     for m in range(1, n):
         with np.errstate(divide="ignore"):
             log = np.logaddexp(log + np.log(np.maximum(m - t * d, 0)), np.concatenate([[-np.inf], log[:-1]]))
@@ -567,22 +569,28 @@ def exact_tables(n, new, d):
     return (np.exp(law - np.logaddexp.reduce(law)) * t[1:]).sum()
 
 
-@pytest.mark.parametrize("n, new", [(2, 0.3), (6, 3), (10, 0.5), (40, 20), (63, 3), (64, 3), (64, 20), (65, 20), (1000, 0.01), (1000, 3), (1000, 20)])
-def test_lm_seating(n, new):
+@pytest.mark.parametrize("n, new, most", [(2, 0.3, None), (6, 3, None), (10, 0.5, None), (63, 3, None), (64, 3, None), (64, 20, None), (65, 20, None), (1000, 0.01, 100), (1000, 20, None), (2048, 8, 150), (2049, 8, 150), (100_000, 3, 120)])
+def test_lm_seating(n, new, most):
     cells = 4000
     for d in (0.4, 0.7):
-        want = exact_tables(n, new, d)
-        t = hpylm.seat(np.full(cells, n), np.full(cells, float(new)), 0.0, d, hpylm.mixed(np.arange(cells, dtype=np.uint64)))
+        want = exact_tables(n, new, d, most)
+        t = hpylm.seat(np.full(cells, n), np.full(cells, float(new)), d, hpylm.mixed(np.arange(cells, dtype=np.uint64)))
         assert t.mean() == pytest.approx(want, abs=max(0.02 * want, 4 * t.std() / cells**0.5))
         if n <= 6:
             assert want == pytest.approx(expected_tables(n, new, d))
 
 
-def test_lm_seating_of_large_cells():
-    """With a + b i = strength + d i the law is the Pitman-Yor process itself, whose mean is known for any size."""
-    d, s, n, cells = 0.5, 2.0, 100_000, 3000
-    t = hpylm.seat(np.full(cells, n), np.full(cells, s), d, d, hpylm.mixed(np.arange(cells, dtype=np.uint64)))
-    want = s / d * (math.exp(math.lgamma(s + d + n) + math.lgamma(s) - math.lgamma(s + n) - math.lgamma(s + d)) - 1)
-    assert t.mean() == pytest.approx(want, rel=0.05)
-    odd = hpylm.seat(np.array([0, 1, 10**7]), np.full(3, 0.5), 0.0, 0.4, np.arange(3, dtype=np.uint64))
-    assert odd[0] == 0 and odd[1] == 1 and 1 <= odd[2] and len(hpylm.seat([], [], 0.0, 0.4, np.zeros(0, np.uint64))) == 0
+@pytest.mark.parametrize("d", [0.05, 0.4, 0.8, 0.95])
+def test_lm_stirling_far(d):
+    """The integral against the recursion, over the whole line."""
+    n, known = hpylm.ROWS, hpylm.stirling(d)[-hpylm.ROWS :]
+    t = np.unique(np.geomspace(1, 0.99 * n, 200).astype(int))
+    gap = hpylm.stirling_far(float(n), t.astype(float), d) - known[t - 1]
+    assert np.abs(gap - gap[0]).max() < 1e-3
+
+
+def test_lm_seating_odd():
+    t = hpylm.seat(np.array([0, 1, 10**9]), np.full(3, 0.5), 0.4, np.arange(3, dtype=np.uint64))
+    assert t[0] == 0 and t[1] == 1 and 1 <= t[2] and len(hpylm.seat([], [], 0.4, np.zeros(0, np.uint64))) == 0
+    x = hpylm.gamma_draws(np.repeat([1.5, 400.0], 20000), hpylm.mixed(np.arange(40000, dtype=np.uint64)))
+    assert x[:20000].mean() == pytest.approx(1.5, rel=0.03) and x[:20000].var() == pytest.approx(1.5, rel=0.08) and x[20000:].mean() == pytest.approx(400, rel=0.01)

@@ -5,8 +5,8 @@ the parent restaurant of words, whose parent is uniform over the distinct words
 word) with its count of customers over all training texts; there are as many cells as distinct pairs, and nothing about them
 reaches the driver but sums.
 
-Seating. A Gibbs step takes all customers of a cell from their tables and seats them anew, one after another, given all other cells
-as of the last round: the exact conditional of the cell's number of tables, at all sizes by the same draw (`seat`). CHAINS chains run
+Seating. A Gibbs step takes all customers of a context's cells from their tables and seats them anew, one after another, given the
+parent as of the last round: an exact draw of each cell's number of tables, by one law at all sizes (`seat`). CHAINS chains run
 side by side over ROUNDS rounds, each from one table a cell; the parent's customers, one for each table below, are seated the same
 way. The predictive probability, which sums to one over words, is averaged over the chains. Random numbers come from hashes of (context,
 word, chain, round), so that scores don't depend on how rows, chunks and buckets lie.
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import byte_list, discard, held_out, materialize, mixed, release
 
-CHUNK, CELLS, SPLIT, CHAINS, ROUNDS, SPAN, TRIES = 16 << 20, 1 << 20, 16, 3, 3, 1 << 20, 1 << 17
+CHUNK, CELLS, SPLIT, CHAINS, ROUNDS, SPAN, ROWS, NODES = 16 << 20, 1 << 20, 16, 3, 3, 1 << 20, 2048, 96
 STRENGTH = 1.0
 TEXTS, LOCAL, SPELLED, KNOWN, COUNTS, ONES, ASK, ASKED, STATE, PART_U, PART_W, REPLY_U, REPLY_W, TOTAL, WORDS, ANSWER = range(16)
 MESSAGE = "kind int, src long, dst long, a binary, b binary, c binary, d binary, x double, y double"
@@ -102,11 +102,6 @@ def by_chain(rows: list[dict], name: str):
 # --- seating
 
 
-def log_rising(x, k):
-    """log of gamma(x + k) / gamma(x), for positive x and k of 0 or more."""
-    return log_gamma(x + k) - log_gamma(x)
-
-
 def log_gamma(x):
     """By Stirling's series after a shift by six."""
     import numpy as np
@@ -126,101 +121,124 @@ def uniform(key, turn):
     return ((x >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
 
 
-def seat(n, a, b, discount: float, key):
-    """An exact draw of each cell's number of tables, seating its n customers in sequence.
+@lru_cache(4)
+def stirling(d: float):
+    """log of generalised Stirling numbers S(n, t) for n up to ROWS, a line of n numbers after those of n - 1."""
+    import numpy as np
+
+    out = np.empty(ROWS * (ROWS + 1) // 2)
+    out[0], line = 0.0, np.zeros(1)
+    for m in range(1, ROWS):
+        t = np.arange(1, m + 1)
+        line = np.concatenate([line + np.log(m - t * d), [-np.inf]])
+        line[1:] = np.logaddexp(line[1:], out[m * (m - 1) // 2 : m * (m + 1) // 2])
+        out[m * (m + 1) // 2 : (m + 1) * (m + 2) // 2] = line
+    return out
+
 
-    To sit at a table of size k weighs k - discount, to open a table when i are open weighs a + b i; the first opens its own. So t
-    tables have probability in proportion to the generalised Stirling number of (n, t) times the product of a + b i over 0 < i < t.
+def seat(n, a, discount: float, key):
+    """An exact draw of each cell's number of tables, its n customers seated in sequence.
 
-    Customers are seated by a plain Pitman-Yor process of some strength, in which the next customer to open a table is found at once
-    by its distribution function; the ratios of weights accept or reject the seating as it goes, so the strength only changes the
-    cost. Work per seating follows tables, not customers. Seatings are numbered, and a cell takes the first accepted; where few cells
-    are left, many of their seatings are tried together. key: 64-bit numbers, one per cell; the draw depends on nothing else.
+    To sit at a table of size k weighs k - discount, to open a table weighs a; the first opens its own. So t tables have probability
+    in proportion to S(n, t) a^(t - 1), where S are generalised Stirling numbers: one law for all sizes, and t is found by its
+    distribution function. Up to ROWS customers the numbers come from their recursion, for more from an integral. key: 64-bit numbers, one per cell; the draw depends on nothing else.
     """
     import numpy as np
 
     n = np.asarray(n, np.int64)
     out, d = (n > 0).astype(np.int64), max(discount, 1e-3)
-    a, b, key = (np.broadcast_to(np.asarray(x, kind), out.shape) for x, kind in ((a, np.float64), (b, np.float64), (key, np.uint64)))
-    many = np.flatnonzero(n > 1)
-    for lo in range(0, len(many), TRIES):
-        at = many[lo : lo + TRIES]
-        nn, aa, bb, kk = n[at].astype(np.float64), a[at], b[at], key[at]
-        about = np.minimum((nn ** -(1 + d) + (1 + aa / d) ** -(1 + d)) ** (-1 / (1 + d)), 1 + aa * np.log((nn + aa) / (1 + aa)))  # the mean, roughly
-        strength = np.maximum(aa - (d - bb) * about, np.minimum(aa, 1 / np.log(nn + 1)) - d)
-        todo, tried = np.arange(len(at)), 0
-        while len(todo):
-            k = max(1, TRIES // 8 // len(todo))
-            each = np.repeat(todo, k)
-            with np.errstate(over="ignore"):
-                tickets = mixed(kk[each] + np.tile(np.arange(tried, tried + k, dtype=np.uint64), len(todo)) * np.uint64(0xA0761D6478BD642F))
-            t = seatings(nn[each], aa[each], bb[each], d, strength[each], tickets).reshape(-1, k)
-            got = (t > 0).argmax(1)
-            t = t[np.arange(len(todo)), got]
-            out[at[todo[t > 0]]] = t[t > 0]
-            todo, tried = todo[t == 0], tried + k
+    a, key = (np.broadcast_to(np.asarray(x, kind), out.shape) for x, kind in ((a, np.float64), (key, np.uint64)))
+    order = np.argsort(n, kind="stable")
+    lo, hi = np.searchsorted(n[order], [2, ROWS + 1])
+    known, most = stirling(d), 1 << 20
+    for size in np.unique(n[order[lo:hi]]).tolist():
+        line, t = known[size * (size - 1) // 2 : size * (size + 1) // 2], np.arange(size)
+        first, last = np.searchsorted(n[order], [size, size + 1])
+        step = max(1, most // size)
+        for i in range(first, last, step):
+            at = order[i : min(i + step, last)]
+            law = line + np.log(a[at])[:, None] * t
+            upto = np.exp(law - law.max(1, keepdims=True)).cumsum(1)
+            out[at] = 1 + (upto < (uniform(key[at], np.uint64(1)) * upto[:, -1])[:, None]).sum(1)
+    for i in order[hi:].tolist():
+        out[i] = draw_far(float(n[i]), float(a[i]), d, float(uniform(key[i : i + 1], np.uint64(1))[0]))
     return out
 
 
-def seatings(n, a, b, d: float, strength, key):
-    """One seating for each entry: its tables, or 0 where it is rejected."""
+def stirling_far(n: float, t, d: float):
+    """log of S(n, t) up to a constant of n, for an array t: coefficients of (1 - (1 - x)^d)^t / t!, by a contour integral.
+
+    With x = exp(-q) the contour is a parabola in q through the saddle point, or, where that is nearer to the cut than 4 / n, round
+    the cut, with the constant term of the power, which has no such coefficient, taken off. Errors are below 1e-4.
+    """
+    import numpy as np
+
+    slope = lambda q: -t * d * np.exp(-q) * (-np.expm1(-q)) ** (d - 1) / (1 - (-np.expm1(-q)) ** d)
+    low, high = np.full(len(t), -60.0), np.full(len(t), 7.0)
+    for _ in range(60):
+        mid = (low + high) / 2
+        more = -slope(np.exp(mid)) > n
+        low, high = np.where(more, mid, low), np.where(more, high, mid)
+    q = np.exp(low)
+    bend = (slope(q * 1.0001) - slope(q * 0.9999)) / (0.0002 * q)
+    near = n * q < 2
+    q = np.maximum(q, np.where(near, 4 / n, 0.0))
+    wide = np.minimum(np.where(near, np.inf, 4.5 / (np.sqrt(np.maximum(bend, 1e-300)) * q)), np.sqrt(1 + 36 / (n * q)))
+    top = n * q + t * np.log1p(-((-np.expm1(-q)) ** d))
+    u = 1j * (np.arange(NODES) + 0.5) / NODES * wide[:, None]
+    path = q[:, None] * (1 + u) ** 2
+    power = np.exp(n * path + t[:, None] * np.log(1 - (-np.expm1(-path)) ** d) - top[:, None])
+    power = power - np.where(near[:, None], np.exp(np.minimum((n * path).real - top[:, None], 600) + 1j * n * path.imag), 0)
+    whole = (power * (1 + u) * 1j).imag.sum(1) * 2 * q * wide / NODES / np.pi
+    return top + np.log(np.abs(whole)) - log_gamma(t + 1) - t * np.log(d)
+
+
+def draw_far(n: float, a: float, d: float, u: float) -> int:
+    """A cell's number of tables at the given level of its distribution function, which spans at most about the root of its mean."""
+    import numpy as np
+
+    low, high, level = 1e-12, 700 / (1 - d), np.log(n / a)
+    for _ in range(60):  # where the tilted sizes of a / d tables add up to n
+        z = (low + high) / 2
+        low, high = (z, high) if np.log(-np.expm1(-z)) + (1 - d) * z < level else (low, z)
+    about = 1 - a / d * np.expm1(-d * low)
+    first, last = max(1.0, np.floor(about - 9 * np.sqrt(about) - 9)), min(n, np.ceil(about + 9 * np.sqrt(about) + 18))
+    t = np.unique(np.floor(np.linspace(first, last, min(int(last - first) + 1, 161))))
+    law = stirling_far(n, t, d) + t * np.log(a)
+    law = np.exp(law - law.max())
+    if len(t) == last - first + 1:
+        upto = law.cumsum()
+        return int(t[np.searchsorted(upto, u * upto[-1])])
+    upto = np.concatenate([[0.0], ((law[1:] + law[:-1]) / 2 * np.diff(t)).cumsum()])
+    return int(np.rint(np.interp(u * upto[-1], upto, t)))
+
+
+def gamma_draws(shape, key):
+    """Gamma variates of shapes of 1 or more, by squeezed normals."""
     import numpy as np
 
-    out, at = np.zeros(len(n), np.int64), np.arange(len(n))
-    turn_at = np.maximum(1.0, np.ceil((a - strength) / np.maximum(d - b, 1e-12)))  # from here on a new table weighs less than proposed
-    end = log_gamma(n + strength)
-    m, t, turn = np.ones(len(n)), np.ones(len(n)), 0
+    out, at, turn = np.zeros(len(shape)), np.arange(len(shape)), 0
     while len(at):
-        turn += 2
-        u, v = np.log(uniform(key, np.uint64(turn))), np.log(uniform(key, np.uint64(turn + 1)))
-        td = t * d
-        start = log_gamma(m - td) - log_gamma(m + strength)
-        ended = u < log_gamma(n - td) - end - start  # nobody else opens a table
-        accept = np.zeros(len(at))
-        short = np.flatnonzero(ended & (t < turn_at))
-        if short.size:
-            tt, k, aa, bb = t[short], (turn_at - t)[short], a[short], b[short]
-            up = log_rising(strength[short] / d + tt, k) + k * np.log(d)
-            grows = bb > 1e-9 * aa
-            bs = np.where(grows, bb, aa)
-            accept[short] = up - np.where(grows, log_rising(aa / bs + tt, k) + k * np.log(bs), k * np.log(aa))
-        opens = np.flatnonzero(~ended)
-        if opens.size:
-            tt = t[opens]
-            accept[opens] = np.minimum(0.0, np.log(a[opens] + b[opens] * tt) - np.log(strength[opens] + d * tt))
-            opens = opens[v[opens] <= accept[opens]]
-            m[opens] += next_to_open(u[opens] + start[opens], m[opens], td[opens], strength[opens], n[opens])
-            t[opens] += 1
-        good = v <= accept
-        done = ended & good
-        out[at[done]] = t[done].astype(np.int64)
-        left = good & ~ended
-        at, n, a, b, key, strength, turn_at, end, m, t = (x[left] for x in (at, n, a, b, key, strength, turn_at, end, m, t))
+        d = shape[at] - 1 / 3
+        r, angle, u = (uniform(key[at], np.uint64(turn + i)) for i in (1, 2, 3))
+        x = np.sqrt(-2 * np.log(r)) * np.cos(2 * np.pi * angle)
+        v = np.maximum(1 + x / np.sqrt(9 * d), 0.0) ** 3
+        good = (v > 0) & (np.log(u) < x * x / 2 + d - d * v + d * np.log(np.maximum(v, 1e-300)))
+        out[at[good]] = (d * v)[good]
+        at, turn = at[~good], turn + 3
     return out
 
 
-def next_to_open(level, m, td, strength, n):
-    """The least j in 1 .. n - m by which the log of the chance that nobody has opened falls to `level` (less its start).
+def openings(tables, discount: float, u, chain: int, seed: int):
+    """The weight of a new table in contexts, before the dish's own probability.
 
-    A power law names a place, which is nearly always right; halving finds the rest.
+    A restaurant of T tables has weight (strength)(strength + discount) ... over its tables. Given a gamma variate of shape
+    strength / discount + T, that is a constant weight per table, so its cells are independent.
     """
     import numpy as np
 
-    fallen = lambda i, j: log_gamma(m[i] + j - td[i]) - log_gamma(m[i] + j + strength[i]) <= level[i]
-    all_ = np.arange(len(m))
-    high = n - m
-    low = np.ones(len(m))
-    middle = (strength - td - 1) / 2
-    guess = np.exp(np.minimum(-level / (strength + td), 690.0)) - m - middle
-    guess = np.minimum(np.maximum(np.ceil(guess), 1.0), high)
-    hit, before = fallen(all_, guess), fallen(all_, np.maximum(guess - 1, 0)) & (guess > 1)
-    high = np.where(before, guess - 1, np.where(hit, guess, high))
-    low = np.where(hit & ~before, guess, np.where(hit, low, np.minimum(guess + 1, high)))
-    while (todo := np.flatnonzero(low < high)).size:
-        mid = np.floor((low[todo] + high[todo]) / 2)
-        hit = fallen(todo, mid)
-        high[todo[hit]], low[todo[~hit]] = mid[hit], mid[~hit] + 1
-    return low
+    d = max(discount, 1e-3)
+    return d * gamma_draws(STRENGTH / d + tables, keyed(u, u, chain, -seed - 1))
 
 
 def discount_of(once: float, twice: float) -> float:
@@ -470,7 +488,7 @@ def parent(numbers: Numbers, discount: float, own_tables: list[float], seed: int
                 sums[:, grow_sorted(r["a"])] += grow(r["b"]).reshape(CHAINS, -1)
         word = (np.arange(m) + numbers.base[me]).astype(np.uint64)
         open_ = np.repeat([(STRENGTH + discount * x) / n_dishes for x in own_tables], m)
-        own = seat(below.ravel(), open_, discount / n_dishes, discount, np.concatenate([keyed(word, word, c, seed) for c in range(CHAINS)])).reshape(CHAINS, m)
+        own = seat(below.ravel(), open_, discount, np.concatenate([keyed(word, word, c, seed) for c in range(CHAINS)])).reshape(CHAINS, m)
         out = [(TOTAL, me, c, *[None] * 4, float(below[c].sum()), float(own[c].sum())) for c in range(CHAINS)]
         if KNOWN in rows:  # the last time
             for r in rows[KNOWN]:
@@ -492,7 +510,7 @@ def keyed(u, w, chain: int, seed: int):
     import numpy as np
 
     with np.errstate(over="ignore"):
-        return mixed(mixed(u.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03) + np.uint64(chain * 1000003 + seed)) + w.astype(np.uint64))
+        return mixed(mixed(u.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03) + np.uint64((chain << 32) + seed + (1 << 20))) + w.astype(np.uint64))
 
 
 class Parent:
@@ -523,11 +541,12 @@ def sample(numbers: Numbers, discount: float, up: Parent, seed: int, last: bool)
         u, w = numbers.pair(keys, bucket)
         tables, below, own = by_chain(rows[REPLY_U], "a"), by_chain(rows[REPLY_W], "a"), by_chain(rows[REPLY_W], "b")
         many = np.flatnonzero(n > 1)
-        at_u, at_w = np.unique(u, return_inverse=True)[1][many], np.unique(w, return_inverse=True)[1][many]
+        us, at_u = np.unique(u, return_inverse=True)
+        at_u, at_w = at_u[many], np.unique(w, return_inverse=True)[1][many]
         p = np.array([up.p(c, below[c, at_w], own[c, at_w], t[c, many]) for c in range(CHAINS)])
-        open_ = (STRENGTH + discount * (tables[:, at_u] - t[:, many])) * p
+        weight = np.array([openings(x, discount, us, c, seed) for c, x in enumerate(tables)])[:, at_u]
         tickets = np.concatenate([keyed(u[many], w[many], c, seed) for c in range(CHAINS)])
-        t[:, many] = seat(np.tile(n[many], CHAINS), open_.ravel(), discount * p.ravel(), discount, tickets).reshape(CHAINS, -1)
+        t[:, many] = seat(np.tile(n[many], CHAINS), (weight * p).ravel(), discount, tickets).reshape(CHAINS, -1)
         out = parts(numbers, bucket, u, w, t)
         if not last:
             return messages([(STATE, bucket, bucket, state["a"], state["b"], shrink(t.ravel())), *out])
