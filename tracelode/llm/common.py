@@ -119,6 +119,46 @@ def with_starts(df: DataFrame, group: str, size: str, name: str) -> DataFrame:
     return joined.withColumn("start", F.col("local_") + F.col("base_")).drop("part_", "local_", "p_", "g_", "base_")
 
 
+def ordered_starts(df: DataFrame, group: str, size: str, key: str, name: str) -> DataFrame:
+    """Add `start`: the sum of `size` over the rows of the same group (null is a group) that come before in the order of `key`.
+
+    key is a 64-bit hash, read unsigned, and is dropped; rows of equal keys follow one another in any order. How rows lie doesn't
+    matter: a row's bucket is the leading bits of its key, buckets are sorted and added up apart, and only their totals, one row
+    per bucket and group, are summed in order.
+    """
+    spark = df.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
+    bits = min(40, (8 * parts).bit_length())
+    rows = df.withColumn("part_", F.shiftrightunsigned(key, 64 - bits)).repartition(parts, "part_").sortWithinPartitions("part_", key).drop(key)
+    schema = T.StructType([*rows.schema.fields, T.StructField("local_", T.LongType())])
+
+    def first(batches):
+        import numpy as np
+        import pandas as pd
+
+        seen: dict = {}
+        for batch in batches:
+            keys, part = batch.column(group).dictionary_encode(), batch.column("part_").to_numpy()
+            names, codes = keys.dictionary.to_pylist(), keys.indices.fill_null(len(keys.dictionary)).to_numpy(zero_copy_only=False).astype(np.int64)
+            sizes = batch.column(size).to_numpy(zero_copy_only=False).astype(np.int64)
+            both, at = np.unique(np.stack([part, codes]), axis=1, return_inverse=True)
+            at = at.ravel()
+            upto = pd.Series(sizes).groupby(at).cumsum().to_numpy()
+            pairs = [(p, names[c] if c < len(names) else None) for p, c in both.T.tolist()]
+            base = np.array([seen.get(x, 0) for x in pairs], np.int64)
+            totals = np.bincount(at, sizes, len(pairs))
+            last = part[-1] if len(part) else None
+            seen = {x: v for x, v in seen.items() if x[0] == last} | {x: int(b + n) for x, b, n in zip(pairs, base, totals) if x[0] == last}
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(upto - sizes + base[at])], names=[*batch.schema.names, "local_"])
+
+    kept = materialize(rows.mapInArrow(first, schema), name)
+    before = Window.partitionBy(group).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
+    totals = kept.groupBy("part_", group).agg(F.sum(size).alias("total_"))
+    bases = totals.select(F.col("part_").alias("p_"), F.col(group).alias("g_"), F.coalesce(F.sum("total_").over(before), F.lit(0)).alias("base_"))
+    met = kept.join(bases, (F.col("part_") == F.col("p_")) & F.col(group).eqNullSafe(F.col("g_")), "left")
+    return met.withColumn("start", F.col("local_") + F.col("base_")).drop("part_", "local_", "p_", "g_", "base_")
+
+
 def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """Connected components: (node, component) for every node of edges (a, b), component being its smallest node.
 

@@ -1,13 +1,16 @@
 """Mixing sources to target weights by fixed-length blocks.
 
-Each source's words, its documents one after another, are cut into blocks of `block` words. A target gives a source a number of
-slots. Every slot draws its output shard uniformly, so that the counts of sources per shard are multinomial, given the totals;
-slot k takes the block that the source's pseudorandom permutation of block indexes (a keyed Feistel network, walked within the
-range; a new one for each pass over the source) gives for k; slots meet blocks by a join on (source, index). A block is used at
-most three times as slots stop at three passes. Nothing else is random: reruns over the same rows agree.
+Each source's words, its documents in the order of a hash of id and text, are cut into blocks of `block` words. Output shards have
+SHARD_SLOTS slots of a block each, the last one the rest; a shard's counts of sources are one multinomial draw by the targets'
+weights, seeded by the shard. A source's slots are numbered on from shard to shard; slot k takes the block that the source's
+pseudorandom permutation of block indexes (a keyed Feistel network, walked within the range; a new one for each pass over the source)
+gives for k, and slots meet blocks by a join on (source, index). What is taken of a document is what the slots take: near its
+source's target, by the spread of the draw. Slots beyond three passes over a source stay empty, so no block is used more often.
+Nothing depends on how rows lie: the same rows give the same mix.
 
 Targets. Sources by code point, null last, weigh 5, 2, 1, repeating, and share all words; a target stops at three times its
-source's size and the excess is shared anew by weight: solved at once as filling to a common level.
+source's size and the excess is shared anew by weight: solved at once as filling to a common level. Sources are few: one row for
+each reaches the driver.
 
 Defined cases: a null or blank text has size 0 and none taken; sources of size 0 have target 0; repeated rows are dealt each; an
 empty table gives no rows; extra columns are ignored.
@@ -16,22 +19,12 @@ empty table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BLANK, materialize, with_starts
+from .common import BLANK, materialize, mixed, ordered_starts
 
-BLOCK, SHARD_SLOTS, MOST, WEIGHTS = 128, 8192, 3, (5, 2, 1)
-
-
-def mixed(x):
-    """A 64-bit finalizer, for numpy arrays."""
-    import numpy as np
-
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
+BLOCK, SHARD_SLOTS, BATCH, MOST, WEIGHTS = 16, 8192, 64, 3, (5, 2, 1)
 
 
 def permuted(k, n: int, key: int):
@@ -65,45 +58,79 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return rows.select("source", "source_size", F.least("most", F.col("level") * F.col("w")).alias("target"))
 
 
-def slots(sources: DataFrame, seed: int = 0) -> DataFrame:
-    """(source, block, shard, slot): one row per slot."""
-    total = sources.agg(F.sum("n_slots")).first()[0] or 0
-    n_shards = max(1, -(-total // SHARD_SLOTS))
-    chunk = 1 << 14
-    parts = sources.filter("n_slots > 0").select("source", "n_slots", "n_blocks", F.explode(F.sequence(F.lit(0), F.col("n_slots") - 1, F.lit(chunk).cast("long"))).alias("low"))
-    parts = parts.repartition(max(1, min(4096, -(-total // chunk))), "source", "low")
+def shard_counts(shard: int, total: int, weights, seed: int):
+    """Slots of each source in an output shard, a multinomial draw."""
+    import numpy as np
 
-    def run(batches):
+    size = min(SHARD_SLOTS, total - shard * SHARD_SLOTS)
+    return np.random.default_rng([seed, shard]).multinomial(size, weights)
+
+
+def slots(spark: SparkSession, sources: list[tuple[str | None, float, int]], seed: int = 0) -> DataFrame:
+    """(source, block, shard, slot): one row per slot that holds a block. sources: name, expected slots, blocks; in a fixed order.
+
+    Shards are drawn in batches; a first pass adds up each batch's counts, which places the slots of the next.
+    """
+    sources = [s for s in sources if s[1] > 0]
+    expected = sum(s[1] for s in sources)
+    total = round(expected)
+    weights = [s[1] / expected for s in sources] if sources else []
+    n_shards = -(-total // SHARD_SLOTS)
+    batches = spark.range(0, -(-n_shards // BATCH) if sources else 0, numPartitions=max(1, min(4096, -(-n_shards // BATCH)))).select(F.col("id").alias("batch"))
+    shards = lambda batch: range(batch * BATCH, min(n_shards, (batch + 1) * BATCH))
+
+    def add(rows):
+        for r in rows:
+            for batch in r.column("batch").to_pylist():
+                counts = sum(shard_counts(s, total, weights, seed) for s in shards(batch))
+                yield pa.RecordBatch.from_arrays([pa.array([batch] * len(counts), pa.int64()), pa.array(range(len(counts)), pa.int32()), pa.array(counts, pa.int64())], names=["batch", "source", "n"])
+
+    sums = batches.mapInArrow(add, "batch long, source int, n long")
+    before = Window.partitionBy("source").orderBy("batch").rowsBetween(Window.unboundedPreceding, -1)
+    placed = sums.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    placed = placed.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("source", "first"))).alias("firsts"))
+
+    def run(rows):
         import numpy as np
         import xxhash
 
-        for batch in batches:
-            for source, n, b, low in zip(*(c.to_pylist() for c in batch.columns)):
-                k = np.arange(low, min(n, low + chunk), dtype=np.int64)
-                key = xxhash.xxh3_64_intdigest(b"\0" if source is None else b"\1" + source.encode(), seed)
-                block = np.empty(len(k), np.int64)
-                for e in np.unique(k // b).tolist():
-                    own = k // b == e
-                    block[own] = permuted(k[own] % b, b, key + 7919 * e)
-                shard = (mixed(k.astype(np.uint64) ^ np.uint64(key)) % np.uint64(n_shards)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([source] * len(k), pa.string()), pa.array(block), pa.array(shard), pa.array(k)], names=["source", "block", "shard", "slot"])
-
-    return parts.mapInArrow(run, "source string, block long, shard long, slot long")
+        keys = [xxhash.xxh3_64_intdigest(b"\0" if s is None else b"\1" + s.encode(), seed) for s, _, _ in sources]
+        for r in rows:
+            for batch, firsts in zip(r.column("batch").to_pylist(), r.column("firsts").to_pylist()):
+                at = [x["first"] for x in firsts]
+                for shard in shards(batch):
+                    for i, n in enumerate(shard_counts(shard, total, weights, seed).tolist()):
+                        name, _, b = sources[i]
+                        k = np.arange(at[i], min(at[i] + n, MOST * b), dtype=np.int64)
+                        at[i] += n
+                        block = np.empty(len(k), np.int64)
+                        for e in np.unique(k // b).tolist():
+                            own = k // b == e
+                            block[own] = permuted(k[own] % b, b, keys[i] + 7919 * e)
+                        if len(k):
+                            yield pa.RecordBatch.from_arrays([pa.array([name] * len(k), pa.string()), pa.array(block), pa.array(np.full(len(k), shard)), pa.array(k)], names=["source", "block", "shard", "slot"])
+
+    return placed.mapInArrow(run, "source string, block long, shard long, slot long")
 
 
 def plan(rows: DataFrame, block: int = BLOCK, seed: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """rows (source, size, ...) -> (placed rows with start, source_size, target; pieces (s_, start, block, length); slots)."""
-    placed = with_starts(rows, "source", "size", "mix")
+    """rows (source, size, key_, ...) -> (placed rows with start, source_size, target; pieces (s_, start, block, length); slots)."""
+    placed = ordered_starts(rows, "source", "size", "key_", "mix")
     sizes = placed.groupBy("source").agg(F.sum("size").alias("source_size"))
-    sources = source_targets(sizes).withColumn("n_blocks", F.ceil(F.col("source_size") / block))
-    n = F.round(F.col("target") * F.col("n_blocks") / F.nullif("source_size", F.lit(0)))
-    sources = materialize(sources.withColumn("n_slots", F.coalesce(F.least(n.cast("long"), MOST * F.col("n_blocks")), F.lit(0).cast("long"))), "sources")
+    sources = materialize(source_targets(sizes).withColumn("n_blocks", F.ceil(F.col("source_size") / block)), "sources")
     named = sources.select(F.col("source").alias("s_"), "source_size", "target")
     placed = materialize(placed.join(named, placed.source.eqNullSafe(named.s_), "left").drop("s_"), "placed")
     first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
     pieces = placed.filter("size > 0").select(F.col("source").alias("s_"), "start", "size", F.explode(F.sequence(first, last)).alias("block"))
     length = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("start"), F.col("block") * block)
-    return placed, pieces.withColumn("length", length), slots(sources, seed)
+    few = sorted(sources.collect(), key=lambda r: (r["source"] is None, (r["source"] or "").encode()))  # one row per source
+    few = [(r["source"], r["target"] * r["n_blocks"] / r["source_size"] if r["source_size"] else 0.0, r["n_blocks"]) for r in few]
+    return placed, pieces.withColumn("length", length), slots(rows.sparkSession, few, seed)
+
+
+def row_key(text: Column) -> Column:
+    """A hash of a row's id and text, by which the words of a source are ordered."""
+    return F.xxhash64("doc_id", F.xxhash64(text), F.lit("mix")).alias("key_")
 
 
 def uses(pieces: DataFrame, drawn: DataFrame) -> DataFrame:
@@ -115,7 +142,7 @@ def uses(pieces: DataFrame, drawn: DataFrame) -> DataFrame:
 
 def manifest(docs: DataFrame, block: int = BLOCK, seed: int = 0) -> DataFrame:
     """(shard, source, slot, block, doc_id, first, length): which words of which document each slot of each output shard holds."""
-    placed, pieces, drawn = plan(docs.select("doc_id", "source", n_words().alias("size")), block, seed)
+    placed, pieces, drawn = plan(docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words().alias("size"), row_key(F.col("text"))), block, seed)
     own = placed.select("doc_id", F.col("source").alias("o_"), F.col("start").alias("at_"), F.col("size").alias("n_")).filter("n_ > 0")
     held = pieces.join(own, pieces.s_.eqNullSafe(own.o_) & (pieces.start == own.at_)).drop("o_", "at_", "n_").withColumnRenamed("block", "b_")
     first = F.greatest(F.lit(0), F.col("b_") * block - F.col("start"))
@@ -127,7 +154,7 @@ def n_words():
 
 
 def query(docs: DataFrame) -> DataFrame:
-    placed, pieces, drawn = plan(docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words().alias("size")))
+    placed, pieces, drawn = plan(docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words().alias("size"), row_key(F.col("text"))))
     got = uses(pieces, drawn).groupBy("s_", "start").agg(F.sum(F.col("length") * F.col("uses")).alias("took")).withColumnRenamed("start", "at_")
     out = placed.join(got.hint("merge"), placed.source.eqNullSafe(got.s_) & (placed.start == got.at_) & (placed["size"] > 0), "left")
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("took", F.lit(0)).cast("long").alias("taken"))
@@ -139,7 +166,7 @@ def mix_documents(docs: DataFrame, block: int = BLOCK, seed: int = 0) -> DataFra
     n_chars, where there is one, is set to the length of the text.
     """
     names = {x: f"c{i}_" for i, x in enumerate(docs.columns)}
-    wide = docs.select(F.col("source").cast("string").alias("source"), n_words().alias("size"), *[F.col(x).alias(y) for x, y in names.items()])
+    wide = docs.select(F.col("source").cast("string").alias("source"), n_words().alias("size"), row_key(F.col("text")), *[F.col(x).alias(y) for x, y in names.items()])
     placed, pieces, drawn = plan(wide, block, seed)
     took = uses(pieces, drawn).groupBy("s_", "start").agg(F.collect_list(F.struct("block", "uses")).alias("took")).withColumnRenamed("start", "at_")
     took = took.withColumn("took", F.transform("took", lambda x: x.block * (MOST + 1) + F.least(x.uses, F.lit(MOST))))
@@ -148,7 +175,7 @@ def mix_documents(docs: DataFrame, block: int = BLOCK, seed: int = 0) -> DataFra
     kinds = docs.schema
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
             keep, texts = [], []
             for i, (start, size, took, text) in enumerate(zip(*(batch.column(j).to_pylist() for j in (0, 1, 2, at["text"])))):
                 by = dict(divmod(x, MOST + 1) for x in took)
