@@ -133,6 +133,14 @@ def test_language_odd(spark, odd):
     assert langid.query(odd.limit(0)).count() == 0
 
 
+def test_language_edges(spark):
+    """Numbers are no letters; a language whose n-grams all come once is learned."""
+    rows = [(i, t, k) for i, (t, k) in enumerate([("½ ² ②", "en"), ("abc", "xx"), ("the the the", "en"), ("the cat the cat", "en"), ("abc", None), ("Ⅻ 5", None)])]
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.query(spark.createDataFrame([(10 + i, t, k) for i, t, k in rows], "doc_id long, text string, lang string")).collect()}
+    assert got[10] == "und" and got[14] in ("xx", "en")
+    assert langid.decide("abc", langid.build({"en": {int(g): 2 for g in langid.grams("the")}, "xx": {int(g): 1 for g in langid.grams("abc")}}))[0] == "xx"
+
+
 def test_filters_give_languages():
     f = langid.build({"a": {1: 5, 2: 5, 3: 1}, "b": {2: 5, 3: 9, 4: 5}})
     masks = f.slices[0]

@@ -6,9 +6,10 @@ with fill rate f^k a filter returns f^k of the absent n-grams too, so hits are c
 language with most corrected hits wins; the score is its lead over the next, as a share of its own hits.
 
 Fit. Per language a sample of rows bounded by SAMPLE (expected, by hash of the id); an n-gram belongs to a language when its share
-there is at least KEEP of its largest share anywhere. The filter's size is fixed, so what is sent to executors is bounded.
+there is at least KEEP of its largest share anywhere. Of a language's n-grams the GRAMS most frequent count, and of these only those
+seen twice, unless none is. The filter's size is fixed, so what is sent to executors is bounded.
 
-Defined cases: null texts and texts without a letter are `und` with score 0, as is every text when no language was learned; a text
+Defined cases: null texts and texts without a letter (`str.isalpha`, so numbers like ½ are none) are `und` with score 0, as is every text when no language was learned; a text
 none of whose n-grams is known is `und` too only if nothing was learned, else the first language with score 0. Ties go to the
 first language by code point. Extra columns are ignored.
 """
@@ -20,12 +21,12 @@ from dataclasses import dataclass, field
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import held_out
 
-SAMPLE, KEEP, GRAM = 3000, 0.5, 3
+SAMPLE, KEEP, GRAM, GRAMS = 3000, 0.5, 3, 1 << 17
 SLOTS, HASHES = 1 << 20, 2
 LETTER = re.compile(r"[^\W\d_]")
 M1, M2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
@@ -94,7 +95,7 @@ def popcounts(text: str, f: Filters):
 def decide(text: str | None, f: Filters) -> tuple[str, float]:
     import numpy as np
 
-    if not f.langs or text is None or not LETTER.search(text):
+    if not f.langs or text is None or not any(m.group().isalpha() for m in LETTER.finditer(text)):
         return "und", 0.0
     n, hits = popcounts(text, f)
     best = int(np.argmax(hits))
@@ -149,9 +150,12 @@ def fit(docs: DataFrame, mod: int = 4, rest: int = 2) -> Filters:
                 g, n = np.unique(np.concatenate(keys), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([k] * len(g), pa.string()), pa.array(g.view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
 
-    found = sample.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).filter("n > 1")
+    found = sample.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    top = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+    often = F.max("n").over(Window.partitionBy("lang"))
+    found = found.withColumn("top", top).withColumn("often", often).filter(f"top <= {GRAMS} and (n > 1 or often = 1)").select("lang", "gram", "n")
     counts: dict[str, dict[int, int]] = {k: {} for k in rates}
-    for batch in found.toArrow().to_batches():  # n-grams of the bounded sample
+    for batch in found.toArrow().to_batches():  # at most GRAMS per language
         for k, g, n in zip(*(c.to_pylist() for c in batch.columns)):
             counts[k][g] = n
     return build({k: v for k, v in counts.items() if v})
@@ -172,13 +176,13 @@ def query(docs: DataFrame) -> DataFrame:
     return score(docs, fit(docs)).select(F.col("id").alias("doc_id"), held_out(F.col("id"), 4, 2).alias("held_out"), "lang_pred", "score")
 
 
-def filter_languages(docs: DataFrame, allowed: list[str] | None = None, least: float = 0.02) -> DataFrame:
-    """The rows of docs in an allowed language (all learned ones by default), told apart from the next by at least `least`."""
+def filter_languages(docs: DataFrame, allowed: list[str] | None = None) -> DataFrame:
+    """The rows of docs in an allowed language (all learned ones by default); where no row names a language, none is learned and none stays."""
     f = fit(docs)
 
     def run(batches):
         for batch in batches:
-            got = [decide(t, f) for t in batch.column("text").to_pylist()]
-            yield batch.filter(pa.array([k != "und" and s >= least and (allowed is None or k in allowed) for k, s in got], pa.bool_()))
+            got = [decide(t, f)[0] for t in batch.column("text").to_pylist()]
+            yield batch.filter(pa.array([k != "und" and (allowed is None or k in allowed) for k in got], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

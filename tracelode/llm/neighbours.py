@@ -6,7 +6,8 @@ members of a node's list, and the nodes that list it, are compared with each oth
 is full of links (cosine at or above the threshold) is saturated and may grow, twice as long each round. A hub's members are dealt
 over groups of at most about GROUP. Links join into components by iterative joins.
 
-Recall is audited against brute force over AUDIT sampled rows; below `target` another round runs with lists twice as long. At last
+Recall is audited against brute force over AUDIT sampled rows; below `target` another round runs with lists twice as long,
+and a recall below LEAST after the last round is an error. At last
 each component's links are counted exactly, block against block, so that a list's length limits no count: only counts leave a
 block, never pairs.
 
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import components, discard, materialize
 
-THRESHOLD, K, TABLES, BITS, BLOCK, GROUP, AUDIT, ROUNDS = 0.98, 8, 4, 24, 256, 64, 256, 2
+THRESHOLD, K, TABLES, BITS, BLOCK, GROUP, AUDIT, ROUNDS, LEAST = 0.98, 8, 4, 24, 256, 64, 256, 2, 0.9
 
 
 def unit(column, rows=None):
@@ -93,7 +94,7 @@ def first_graph(v: DataFrame, k: int) -> DataFrame:
         if (out := done()) is not None:
             yield out
 
-    rows = v.select("id", "label", "vec").mapInArrow(codes, "t int, label int, dim int, code long, id long, vec array<float>")
+    rows = v.select("id", "label", "vec").mapInArrow(codes, "t int, label int, dim int, code long, id long, vec array<double>")
     order = ["t", "label", "dim", "code", F.xxhash64("id")]
     parts = max(v.sparkSession.sparkContext.defaultParallelism, int(v.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(near, "id long, other long, sim double")
@@ -184,7 +185,7 @@ def count_links(v: DataFrame, comp: DataFrame, threshold: float) -> DataFrame:
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, k: int = K, target: float = 0.97, max_rounds: int = 5) -> DataFrame:
     """(vec_id, n_links, component_id) for every row of vectors (vec_id, embedding, label)."""
     bad = F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) | ~F.exists("vec", lambda x: x != 0)
-    rows = vectors.select("vec_id", F.col("label").cast("int").alias("label"), F.col("embedding").cast("array<float>").alias("vec"))
+    rows = vectors.select("vec_id", F.col("label").cast("int").alias("label"), F.col("embedding").cast("array<double>").alias("vec"))
     rows = rows.withColumn("ok", F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("vec") > 0) & ~bad, F.lit(False)))
     rows = materialize(rows.withColumn("hash", F.xxhash64("label", "vec")), "rows")
     v = rows.filter("ok").groupBy("hash", "label", "vec").agg(F.min("vec_id").alias("id"), F.count("*").alias("w"))
@@ -198,8 +199,11 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, k: int = K, t
         graph = nxt
         if i + 1 >= ROUNDS:
             comp = components(graph.filter(F.col("sim") >= threshold).select(F.col("id").alias("a"), F.col("other").alias("b")))
-            if i + 1 == max_rounds or recall(v, comp, threshold) >= target:
+            found = recall(v, comp, threshold)
+            if found >= target:
                 break
+            if i + 1 == max_rounds and found < LEAST:
+                raise RuntimeError(f"recall {found:.3f} after {max_rounds} rounds")
             k *= 2
     n = count_links(v, comp, threshold)
     nodes = v.join(comp, v.id == comp.node, "left").join(n.withColumnRenamed("id", "i_"), F.col("id") == F.col("i_"), "left")

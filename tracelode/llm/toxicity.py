@@ -11,7 +11,9 @@ Under the clean texts' score distribution a segment of score S is due with expec
 sum of the r best normalised scores is kept for the r that is least likely, and a logistic fit on the sample turns it into 0..1.
 
 Defined cases: null, empty and wordless texts have no segment and get the score of no evidence, below 0.5. Without labels of both
-classes the lexicon is empty and every score is the same. Duplicate label rows count as toxic if any is. Extra columns are ignored.
+classes the lexicon is empty and every score is the same. Duplicate label rows count as toxic if any is; of several texts
+under one labelled id the first by code point is learned from. Evidence counts up to 30, where every score is 1 or nearly so. Extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -139,7 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame, mod: int = 5, rest: int = 0) -> Mode
     if len(totals) < 2:
         return m
     pick = [of.filter(c).select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(k) for c, k in (("toxic > 0", SAMPLE_TOXIC), ("toxic <= 0", SAMPLE_CLEAN))]
-    sample = materialize(docs.select("doc_id", "text").join(F.broadcast(pick[0].union(pick[1])), "doc_id").dropDuplicates(["doc_id"]), "sample")
+    sample = materialize(docs.select("doc_id", "text").join(F.broadcast(pick[0].union(pick[1])), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "sample")
 
     counts = contexts(sample)
     terms = counts.select(F.explode(F.array_distinct(F.array("word", *[F.when(F.length("word") > k, F.concat(F.substring("word", 1, k), F.lit("*"))) for k in STARTS]))).alias("term"), "toxic", "n").filter("term is not null")
