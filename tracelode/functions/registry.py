@@ -31,6 +31,7 @@ METHODS = {
     for m in (
         kernel("trace_sim", "trace_sim", "df_coef", "pos_coef", "diff_coef", "match", "gap", "mismatch", "sigmoid", "gamma", "use_sum", "use_idf", "const_match", "reciprocal", "no_norm"),
         kernel("brodie", "brodie", "gap"),
+        kernel("fast", "fast", "alpha", "beta", "gamma"),
         kernel("damerau", "damerau", "insert", "delete", "substitute", "transpose", "swaps"),
         kernel("optimal_alignment", "optimal_alignment", "indel", "mismatch", "match"),
         kernel("position_dependent", "position_dependent", "c", "o"),
@@ -54,7 +55,7 @@ def load(path: str):
 
 def register(spark: SparkSession) -> None:
     """Make the alignment methods, with their default arguments, SQL functions of (q, c, q shares, c shares)."""
-    defaults = {"trace_sim": (), "brodie": (2.5,), "damerau": (1.0, 1.0, 1.0, 1.0, True), "optimal_alignment": (1.0, 1.0, 1.0), "position_dependent": (1.0, 1.0)}
+    defaults = {"trace_sim": (), "fast": (1.0, 1.0, 1.0), "brodie": (2.5,), "damerau": (1.0, 1.0, 1.0, 1.0, True), "optimal_alignment": (1.0, 1.0, 1.0), "position_dependent": (1.0, 1.0)}
 
     def made(of, args):
         @F.pandas_udf("double")

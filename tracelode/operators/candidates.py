@@ -12,11 +12,16 @@ def sides(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return tuple(rows.select([F.col(c).alias(f"{p}_{c}") for c in rows.columns]) for p in "qc")
 
 
-def time_bounded(rows: DataFrame, block: list[str]) -> DataFrame:
-    """rows (report, ts, ...) joined with themselves: candidates not later than the query, another report, of the same block."""
+def time_bounded(rows: DataFrame, block: list[str], numbered: bool = True) -> DataFrame:
+    """rows (report, ts, ...) joined with themselves: candidates not later than the query, another report, of the same block.
+
+    numbered: with `cand_pos`, a candidate's place by time among its query's, which costs a window.
+    """
     q, c = sides(rows)
     on = [F.col(f"q_{b}") == F.col(f"c_{b}") for b in block] + [F.col("c_ts") <= F.col("q_ts"), F.col("c_report") != F.col("q_report")]
     pairs = q.join(c, on)
+    if not numbered:
+        return pairs
     return pairs.withColumn("cand_pos", F.row_number().over(Window.partitionBy("q_report").orderBy("c_ts", "c_report")).cast("long"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import kernels
 from ..functions.symbols import NO_SCORE, max_weight, mean_weight
 from .tables import before
 
@@ -64,19 +65,9 @@ def compare(pairs: DataFrame, stacks: DataFrame, score, kind: str = "max") -> Da
 
 
 def fast(pairs: DataFrame, alpha: float, beta: float, gamma: float) -> DataFrame:
-    """(query, cand, q, qw, c, cw) -> (query, cand, score): the k-th occurrence of a symbol on one side meets the k-th on the other in an outer join."""
-
-    def side(ids: str, shares: str, s: str) -> DataFrame:
-        rows = pairs.select("query", "cand", F.posexplode(F.arrays_zip(F.col(ids).alias("id"), F.col(shares).alias("share"))).alias("pos", "x"))
-        nth = F.row_number().over(Window.partitionBy("query", "cand", F.col("x")["id"]).orderBy("pos"))
-        w = F.pow(F.col("pos") + 1.0, F.lit(-alpha)) * F.exp(-F.lit(beta) * F.col("x")["share"])
-        return rows.select("query", "cand", F.col("x")["id"].alias("id"), nth.alias("nth"), F.col("pos").alias(f"{s}p"), w.alias(f"{s}w"))
-
-    met = side("q", "qw", "q").join(side("c", "cw", "c"), ["query", "cand", "id", "nth"], "full")
-    both = (F.col("qw") + F.col("cw")) * F.exp(-F.lit(gamma) * F.abs(F.col("qp") - F.col("cp")))
-    gain = F.coalesce(both, -F.coalesce(F.col("qw"), F.lit(0.0)) - F.coalesce(F.col("cw"), F.lit(0.0)))
-    weight = F.coalesce("qw", F.lit(0.0)) + F.coalesce("cw", F.lit(0.0))
-    return met.groupBy("query", "cand").agg((F.sum(gain) / F.sum(weight)).alias("score"))
+    """(query, cand, q, qw, c, cw) -> (query, cand, score), for pairs that are not both empty: the registry's `fast`, in one pass."""
+    score = kernels.similarity("fast", alpha, beta, gamma)
+    return pairs.filter(F.size("q") + F.size("c") > 0).select("query", "cand", score(F.col("q"), F.col("c"), F.col("qw"), F.col("cw")).alias("score"))
 
 
 def ranked(scores: DataFrame) -> DataFrame:
