@@ -88,7 +88,8 @@ def slots(spark: SparkSession, sources: list[tuple[str | None, float, int]], see
     sums = batches.mapInArrow(add, "batch long, source int, n long")
     before = Window.partitionBy("source").orderBy("batch").rowsBetween(Window.unboundedPreceding, -1)
     placed = sums.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    placed = placed.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("source", "first"))).alias("firsts"))
+    # few rows that slots are made from: their bytes say little of the work
+    placed = placed.repartition(max(1, min(4096, -(-n_shards // BATCH))), "batch").groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("source", "first"))).alias("firsts"))
 
     def run(rows):
         import numpy as np
