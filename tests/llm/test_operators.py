@@ -1,6 +1,7 @@
 """The training-data operators against brute force, round trips and held-out accuracy, on small tables and on odd rows."""
 
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -396,6 +397,21 @@ def test_quality(spark, docs, odd):
     assert quality.query(odd.limit(0)).count() == 0 and quality.query(odd.withColumn("lang", F.lit(None).cast("string"))).count() == odd.count()
 
 
+def test_quality_method(spark, docs):
+    """Both halves decide rows, clean rows stay, and the common words are the counted ones."""
+    frame = spark.createDataFrame(docs[["doc_id", "text", "lang"]], "doc_id long, text string, lang string")
+    most = {}
+    for lang, text in zip(docs.lang, docs.text):
+        most.setdefault(lang, Counter()).update(w for w in (x.rstrip(quality.STOPS).lower() for x in words(text)) if w)
+    want = {w for c in most.values() for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[: quality.TOP]}
+    assert quality.common_words(frame) == sorted(want)
+    clean = [" ".join(random.Random(i).choices(["the", "of", "and", "Rain", "falls", "hills,", "slow", "river."], k=120)) for i in range(200)]
+    marks = [" ".join(w + "###" for w in clean[0].split()), " ".join(random.Random(1).choices([f"word{i}" for i in range(500)], k=120))]
+    rows = [(i, t, "en") for i, t in enumerate(clean + marks)]
+    got = {r["doc_id"]: r["kept"] for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert [i for i, k in sorted(got.items()) if not k] == [200, 201]
+
+
 def test_quality_sql(spark, odd):
     import duckdb
 
@@ -415,7 +431,7 @@ def test_divergence(spark):
     a = np.array(p) / sum(p)
     m = (a + np.array(q)) / 2
     want = sum(x * math.log2(x / z) for x, z in zip(a, m) if x) / 2 + sum(x * math.log2(x / z) for x, z in zip(q, m) if x) / 2
-    got = spark.range(1).select(quality.divergence(F.array(*map(F.lit, p)), q).alias("d")).first()["d"]
+    got = spark.range(1).select(quality.divergence(quality.shares(F.array(*map(F.lit, p))), F.lit(sum(p)), q).alias("d")).first()["d"]
     assert got == pytest.approx(want)
 
 
