@@ -119,7 +119,8 @@ def test_prequential_and_vocabulary(spark):
     v = progressive.Vocabulary()
     stacks = lambda p: p.select(F.col("report").alias("doc"), "ts", "frames")
     asked = progressive.prequential(rows, lambda n, a, p: (v.compute(stacks(p)), a.count())[1], lambda n, p: v.fit(stacks(p)))
-    assert sum(asked) > 0
+    cut = progressive.chunks(rows).toPandas()
+    assert asked == [len(g) - len(g) // 2 for g in (c[c.is_dup] for _, c in cut.sort_values("ts").groupby("chunk"))]
     got = {r["symbol"]: (r["id"], r["df"]) for r in v.table().collect()}
     assert got["x"] == (1, 12) and sorted(i for i, _ in got.values()) == [1, 2, 3, 4]
     with pytest.raises(ValueError):
@@ -147,3 +148,15 @@ def test_neural(spark):
     rows = spark.createDataFrame([(i, i, i // 4) for i in range(16)], "report long, ts long, bucket long")
     for r in neural.triplets(rows, 3).collect():
         assert r["query"] // 4 == r["good"] // 4 != r["bad"] // 4
+
+
+def test_prepared(spark):
+    """Stripping comes before choosing; what is left empty goes."""
+    rows = spark.createDataFrame([(1, 0, [9, 1, 9], [0.1, 0.5, 0.1]), (1, 1, [2, 9], [0.6, 0.1]), (2, 0, [9], [0.1]), (3, 0, [1, 9, 2], [0.5, 0.1, 0.6])], "report long, stack long, ids array<long>, shares array<double>")
+    got = lambda **k: sorted((r["report"], r["stack"], r["ids"], r["shares"]) for r in scoring.prepared(rows, **k).collect())
+    assert got(stop=(9,)) == [(1, 0, [1], [0.5]), (1, 1, [2], [0.6]), (3, 0, [1, 9, 2], [0.5, 0.1, 0.6])]
+    assert got(stop=(9,), edges=False, keep="one") == [(1, 0, [1], [0.5]), (3, 0, [1, 2], [0.5, 0.6])]
+    limit = spark.createDataFrame([(0.5,)], "threshold double")
+    assert [r[:2] for r in got(stop=(9,), edges=False, keep="rare", threshold=limit)] == [(1, 0), (3, 0)]
+    with pytest.raises(ValueError):
+        scoring.prepared(rows, keep="rare")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels
-from ..functions.symbols import NO_SCORE, max_weight, mean_weight
+from ..functions.symbols import NO_SCORE, max_weight, mean_weight, strip
 from .tables import before
 
 FAR = 99999
@@ -14,10 +14,10 @@ AGGREGATES = ("max", "avg_query", "avg_cand", "avg_short", "avg_long", "avg_quer
 
 
 def select_one(stacks: DataFrame) -> DataFrame:
-    """(report, stack, shares, ...) -> each report's rarest stack: by greatest, then mean, weight; the first of equals."""
+    """(report, stack, shares, ...) -> each report's rarest stack: by greatest, then mean, weight, of nine digits; the first of equals."""
     by = Window.partitionBy("report").orderBy(F.desc("w_max"), F.desc("w_mean"), "stack")
-    weighed = stacks.withColumns({"w_max": max_weight(F.col("shares")), "w_mean": F.coalesce(mean_weight(F.col("shares")), F.lit(-1.0))})
-    return weighed.withColumn("r_", F.row_number().over(by)).filter("r_ = 1").drop("r_")
+    weighed = stacks.withColumns({"w_max": F.round(max_weight(F.col("shares")), 9), "w_mean": F.round(F.coalesce(mean_weight(F.col("shares")), F.lit(-1.0)), 9)})
+    return weighed.withColumn("r_", F.row_number().over(by)).filter("r_ = 1").drop("r_", "w_max", "w_mean")
 
 
 def rarity_threshold(vocab: DataFrame, n_docs, k: float) -> DataFrame:
@@ -31,6 +31,26 @@ def rarity_threshold(vocab: DataFrame, n_docs, k: float) -> DataFrame:
     return upto.crossJoin(size).filter(F.col("upto") > F.floor((1 - F.lit(k)) * F.col("size"))).agg(F.min("v").alias("threshold"))
 
 
+def keep_rare(stacks: DataFrame, threshold: DataFrame) -> DataFrame:
+    """Stacks with a frame at least as rare as the threshold, the one row of rarity_threshold()."""
+    limit = F.broadcast(threshold.select(F.col("threshold").alias("limit_")))
+    return stacks.crossJoin(limit).filter(F.exists("shares", lambda x: 1 - x >= F.col("limit_"))).drop("limit_")
+
+
+def prepared(stacks: DataFrame, keep: str | None = None, threshold: DataFrame | None = None, stop: tuple = (), edges: bool = True) -> DataFrame:
+    """(report, stack, ids, shares, ...) as compared: stop symbols stripped, at both ends or everywhere, without empty stacks.
+
+    keep: None for all, `one` for each report's rarest stack, `rare` for the stacks above the threshold.
+    """
+    if keep not in (None, "one", "rare") or (keep == "rare") != (threshold is not None):
+        raise ValueError("keep is None, 'one', or 'rare' with a threshold")
+    if stop:
+        left = strip(F.arrays_zip("ids", "shares"), lambda x: x["ids"].isin(*stop), edges)
+        stacks = stacks.withColumn("left_", left).withColumns({"ids": F.col("left_")["ids"], "shares": F.col("left_")["shares"]}).drop("left_")
+    stacks = stacks.filter(F.size("ids") > 0)
+    return select_one(stacks) if keep == "one" else keep_rare(stacks, threshold) if keep == "rare" else stacks
+
+
 def aggregate(matrix: DataFrame, keys: list[str], kind: str, weighted: bool = False) -> DataFrame:
     """(keys, q_idx, c_idx, score, and weights q_w, c_w if weighted) -> (keys, score) by the named kind."""
     if kind not in AGGREGATES:
@@ -52,11 +72,12 @@ def aggregate(matrix: DataFrame, keys: list[str], kind: str, weighted: bool = Fa
     return both.select(*keys, mean.alias("score"))
 
 
-def compare(pairs: DataFrame, stacks: DataFrame, score, kind: str = "max") -> DataFrame:
+def compare(pairs: DataFrame, stacks: DataFrame, score, kind: str = "max", keep: str | None = None, threshold: DataFrame | None = None, stop: tuple = (), edges: bool = True) -> DataFrame:
     """pairs (query, cand), stacks (report, stack, ids, shares) -> (query, cand, score): all stacks against all, then the aggregate.
 
-    Candidates without a stack, and all of a query without one, keep the sentinel score.
+    Stacks are first stripped and chosen, see prepared(). Candidates left without a stack, and all of such a query, keep the sentinel score.
     """
+    stacks = prepared(stacks, keep, threshold, stop, edges)
     q = stacks.select(F.col("report").alias("query"), F.col("stack").alias("q_idx"), F.col("ids").alias("q"), F.col("shares").alias("qw"))
     c = stacks.select(F.col("report").alias("cand"), F.col("stack").alias("c_idx"), F.col("ids").alias("c"), F.col("shares").alias("cw"))
     matrix = pairs.select("query", "cand").join(q, "query").join(c, "cand").withColumn("score", score(F.col("q"), F.col("c"), F.col("qw"), F.col("cw")))

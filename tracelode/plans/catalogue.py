@@ -11,7 +11,7 @@ from ..operators import buckets, candidates, knn, scoring, vocabulary
 from ..streaming import progressive
 from ..sources import reports
 from . import neural, search
-from .corpora import ACCOUNTS_SQL, BASKETS_SQL, BLOCKED_SQL, LINKS_SQL, NAMED_SQL, PAIRS_SQL, RANKS_SQL, account_pairs, accounts, baskets, encoded, links, named, table
+from .corpora import ACCOUNTS_SQL, BASKETS_SQL, BLOCKED_SQL, LINKS_SQL, NAMED_SQL, PAIRS_SQL, PREFIX_SQL, RANKS_SQL, account_pairs, accounts, baskets, encoded, links, named, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -155,9 +155,7 @@ def df_weight_max(spark, d):
 @query(f"WITH {BASKETS_SQL}, w AS (SELECT cust AS report, bk.report AS stack, round(list_max(list_transform(w, lambda x: 1 - x)), 9) AS a, round(list_avg(list_transform(w, lambda x: 1 - x)), 9) AS b FROM bk JOIN en USING (report)) SELECT report, stack FROM (SELECT *, row_number() OVER (PARTITION BY report ORDER BY a DESC, b DESC, stack) AS r FROM w) WHERE r = 1")
 def select_one(spark, d):
     rows = encoded(baskets(spark, d)).select(F.col("cust").alias("report"), F.col("report").alias("stack"), "shares")
-    w = rows.withColumns({"a": F.round(symbols.max_weight(F.col("shares")), 9), "b": F.round(symbols.mean_weight(F.col("shares")), 9)})
-    by = Window.partitionBy("report").orderBy(F.desc("a"), F.desc("b"), "stack")
-    return w.withColumn("r", F.row_number().over(by)).filter("r = 1").select("report", "stack")
+    return scoring.select_one(rows).select("report", "stack")
 
 
 THRESHOLD_SQL = BASKETS_SQL + ", tv AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS r, count(*) OVER () AS n FROM (SELECT 1 - df / n_docs AS v FROM vo, nd UNION ALL SELECT 1.0)), th AS (SELECT v FROM tv WHERE r = floor((1 - 0.2) * n))"
@@ -173,7 +171,7 @@ def ktop_threshold(spark, d):
 def ktop_filter(spark, d):
     rows = encoded(baskets(spark, d))
     limit = scoring.rarity_threshold(vocabulary.document_frequency(stacks_of(rows)), rows.count(), 0.2)
-    return rows.crossJoin(F.broadcast(limit)).filter(F.exists("shares", lambda x: 1 - x >= F.col("threshold"))).select("report")  # one row
+    return scoring.keep_rare(rows, limit).select("report")
 
 
 # --- candidates
@@ -571,6 +569,19 @@ def candidates_not_duplicate(spark, d):
     return pairs.filter(keep).select(F.col("q_report").alias("query"), F.col("c_report").alias("cand"))
 
 
+FILTERED_SQL = ACCOUNTS_SQL + """,
+sf AS (SELECT report, stack, list_filter(ids, lambda x: x NOT IN (1, 2, 3)) AS ids, list_transform(list_filter(range(1, len(ids) + 1), lambda i: ids[i] NOT IN (1, 2, 3)), lambda i: w[i]) AS w FROM ac),
+so AS (SELECT *, row_number() OVER (PARTITION BY report ORDER BY round(list_max(list_transform(w, lambda x: 1 - x)), 9) DESC, round(list_avg(list_transform(w, lambda x: 1 - x)), 9) DESC, stack) AS r FROM sf WHERE len(ids) > 0),
+sm AS (SELECT query, cand, x.ids AS q, y.ids AS c FROM ap JOIN so x ON x.report = query AND x.r = 1 JOIN so y ON y.report = cand AND y.r = 1)"""
+
+
+@query(f"WITH {FILTERED_SQL}, sc AS (SELECT query, cand, {PREFIX_SQL} AS score FROM sm) SELECT query, cand, round(coalesce(score, -9999999.99), 6) AS score FROM ap LEFT JOIN sc USING (query, cand)")
+def compare_filtered(spark, d):
+    """Each report's rarest stack alone, without three stop symbols."""
+    pairs, stacks = account_matrix(spark, d)
+    return scoring.compare(pairs, stacks, registry.method("prefix_match"), keep="one", stop=(1, 2, 3), edges=False).select("query", "cand", r6("score").alias("score"))
+
+
 @query(f"WITH {ACCOUNTS_SQL}, wt AS (SELECT report AS query, stack AS q_idx, list_avg(list_transform(w, lambda x: 1 - x)) AS qw FROM ac), b AS (SELECT query, cand, q_idx, qw, max(score) AS best FROM ms JOIN wt USING (query, q_idx) GROUP BY ALL) SELECT query, cand, round(sum(best * qw) / sum(qw) + 1e-9, 6) AS score FROM b GROUP BY query, cand")
 def agg_weighted_query(spark, d):
     """Best matches of the query's stacks, weighed by the mean rarity of their frames."""

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import vocabulary
-from ..operators.tables import DAY, before
+from ..operators.tables import DAY, before, durable
 
 SPLITS = (("warmup", 350), ("train", 3850), ("validation", 140), ("test", 700))
 
@@ -50,13 +50,9 @@ class Vocabulary:
         self.counts: DataFrame | None = None
 
     def compute(self, stacks: DataFrame) -> None:
-        from ..operators.tables import durable
-
         self.symbols = durable(vocabulary.register(stacks, self.symbols))
 
     def fit(self, stacks: DataFrame) -> None:
-        from ..operators.tables import durable
-
         self.compute(stacks)
         df = vocabulary.document_frequency(stacks)
         both = df if self.counts is None else self.counts.union(df)
@@ -68,12 +64,14 @@ class Vocabulary:
 
 def prequential(rows: DataFrame, evaluate, train) -> list:
     """For each chunk: evaluate on the second half of its duplicates, then train on all of it; returns what evaluate returned."""
-    cut = chunks(rows)
+    dup = F.col("is_dup").cast("long")
+    # chunks rise with time, so that one numbering of all duplicates gives their places in every chunk
+    cut = durable(before(chunks(rows), F.floor(F.col("ts") / DAY), ["ts", "report"], dup, "place_"))
     out = []
-    for n in [r[0] for r in cut.select("chunk").distinct().orderBy("chunk").collect()]:  # about 50 numbers
+    for n, first, size in cut.groupBy("chunk").agg(F.min(F.when(F.col("is_dup"), F.col("place_"))), F.sum(dup)).orderBy("chunk").collect():  # about 50 rows
         part = cut.filter(F.col("chunk") == n)
-        place, size = F.row_number().over(Window.partitionBy("is_dup").orderBy("ts", "report")), F.count("*").over(Window.partitionBy("is_dup"))
-        asked = part.withColumn("p_", place).withColumn("n_", size).filter(F.col("is_dup") & (F.col("p_") > F.floor(F.col("n_") / 2))).drop("p_", "n_")
+        asked = part.filter(F.col("is_dup") & (F.col("place_") >= (first or 0) + (size or 0) // 2)).drop("place_")
+        part = part.drop("place_")
         out.append(evaluate(n, asked, part))
         train(n, part)
     return out
