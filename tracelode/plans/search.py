@@ -44,7 +44,12 @@ def evaluate(scored: DataFrame) -> DataFrame:
     """(param_id, query, cand_pos, score, same) -> (param_id, mrr, rr1)."""
     by = Window.partitionBy("param_id", "query").orderBy(F.desc("score"), F.desc("cand_pos"))
     rows = scored.withColumn("rank", F.row_number().over(by) - 1).groupBy("param_id", "query").agg(F.coalesce(F.min(F.when(F.col("same"), F.col("rank"))), F.lit(FAR)).alias("rank"))
-    return rows.groupBy("param_id").agg(F.avg(1 / (F.col("rank") + 1)).alias("mrr"), F.avg((F.col("rank") < 1).cast("double")).alias("rr1"))
+    return measured(rows)
+
+
+def measured(ranks: DataFrame) -> DataFrame:
+    """(param_id, query, rank) -> (param_id, mrr, rr1)."""
+    return ranks.groupBy("param_id").agg(F.avg(1 / (F.col("rank") + 1)).alias("mrr"), F.avg((F.col("rank") < 1).cast("double")).alias("rr1"))
 
 
 @dataclass
