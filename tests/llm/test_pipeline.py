@@ -1,11 +1,12 @@
 """The pipeline's stages on the smallest tables, each against its operator."""
 
 from collections import Counter
+from fractions import Fraction
 
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
-from tracelode.llm import langid, packing, toxicity
+from tracelode.llm import langid, packing, similar, toxicity
 from tracelode.llm.common import table
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -117,3 +118,15 @@ def test_fold_keeps_odd_ids(spark):
     got = cp.fold_near_copies(spark, docs, SF_DIR)
     assert got.columns == docs.columns
     assert sorted(map(repr, ((r["doc_id"], r["text"]) for r in got.collect()))) == sorted(map(repr, [(None, one), (None, two), (None, None), (7, two), (7, three), (4, one), (6, None)]))
+
+
+def test_fold_asks_simhash(spark):
+    """SimHash names near copies, once each for a fingerprint that several texts have; what it names and is not similar stays apart."""
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words), " ".join([*words, "more"]), " ".join(f"x{i}" for i in range(400)), "a b c d", "A  b c d"]
+    docs = spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    rows = similar.prefixed(docs, "text", 5, Fraction(4, 5)).localCheckpoint()
+    node = {r["doc_id"]: r["node_"] for r in rows.collect()}
+    assert node[3] == node[4]
+    assert {frozenset(r) for r in similar.print_pairs(rows).collect()} == {frozenset((node[0], node[1]))}
+    assert {r["doc_id"] for r in cp.fold_near_copies(spark, docs, SF_DIR).collect()} == {0, 2, 3}
