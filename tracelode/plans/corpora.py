@@ -12,14 +12,22 @@ from pyspark.sql import functions as F
 
 from ..operators import vocabulary
 
+BROADCAST = 1 << 21  # parts sent to all tasks at most
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(report, ts, cust, bucket, frames); orders without line items have no stack and are no reports."""
-    li = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+    """(report, ts, cust, bucket, frames); orders without line items have no stack and are no reports.
+
+    Up to BROADCAST parts go to all tasks, more are joined by a shuffle. Line items are dealt to their orders as flat rows: a row of
+    lists for each would be several times as large where few of an order's items lie in one task.
+    """
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    parts = F.broadcast(parts) if parts.count() <= BROADCAST else parts
+    li = table(spark, sf_dir, "lineitem").join(parts, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "p_brand").repartition("l_orderkey")
     frames = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "p_brand")))
     frames = li.groupBy("l_orderkey").agg(frames["p_brand"].alias("frames"))
     reports = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("report"), F.unix_timestamp("o_orderdate").alias("ts"), F.col("o_custkey").alias("cust"))
@@ -50,15 +58,19 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(k.alias("bug_id"), dup.alias("dup_id"), F.unix_timestamp("o_orderdate").alias("ts"))
 
 
-def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(report, stack, frames, ids, shares, block): customers with a stack per order; block: nation, segment and first brand of the longest stack."""
-    rows = encoded(baskets(spark, sf_dir))
+def accounts(spark: SparkSession, sf_dir: str, codes: bool = True) -> DataFrame:
+    """(report, stack, frames, ids, shares, block): customers with a stack per order; block: nation, segment and first brand of the longest stack.
+
+    Without codes, ids and shares are left out, and no vocabulary is made.
+    """
+    rows = baskets(spark, sf_dir)
+    rows = encoded(rows) if codes else rows
     longest = Window.partitionBy("cust").orderBy(F.desc(F.size("frames")), "ts", "report")
     lead = rows.withColumn("lead", F.first(F.get("frames", F.lit(0))).over(longest))
     cust = table(spark, sf_dir, "customer")
     out = lead.join(cust, F.col("cust") == F.col("c_custkey"))
     block = F.concat_ws("|", F.col("c_nationkey").cast("string"), "c_mktsegment", "lead")
-    return out.select(F.col("cust").alias("report"), F.col("report").alias("stack"), "frames", "ids", "shares", block.alias("block"))
+    return out.select(F.col("cust").alias("report"), F.col("report").alias("stack"), "frames", *(["ids", "shares"] if codes else []), block.alias("block"))
 
 
 def account_pairs(stacks: DataFrame) -> DataFrame:
