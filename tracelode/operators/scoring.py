@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..functions.symbols import NO_SCORE, max_weight, mean_weight, strip
-from .tables import before
+from .tables import before, durable
 
 FAR = 99999
 AGGREGATES = ("max", "avg_query", "avg_cand", "avg_short", "avg_long", "avg_query_cand")
@@ -103,20 +103,28 @@ def first_correct(scores: DataFrame) -> DataFrame:
     return rows.groupBy("query").agg(F.coalesce(F.min(F.when(F.col("same"), F.col("rank"))), F.lit(FAR).cast("long")).alias("rank"), F.max("score").alias("top_score"), F.max(((F.col("rank") == 0) & F.col("same")).cast("int")).alias("top_correct"))
 
 
+def queries_each(ranks: DataFrame) -> Column:
+    """How many queries a row stands for: its n, or one."""
+    return F.col("n") if "n" in ranks.columns else F.lit(1)
+
+
 def rank_metrics(ranks: DataFrame, cuts=(1, 5, 10)) -> DataFrame:
-    return ranks.agg(F.avg(1 / (F.col("rank") + 1)).alias("mrr"), *[F.avg((F.col("rank") < k).cast("double")).alias(f"rr{k}") for k in cuts], F.count("*").alias("n_queries"))
+    n = queries_each(ranks)
+    return ranks.agg((F.sum(n / (F.col("rank") + 1)) / F.sum(n)).alias("mrr"), *[(F.sum(F.when(F.col("rank") < k, n).otherwise(0)) / F.sum(n)).alias(f"rr{k}") for k in cuts], F.coalesce(F.sum(n), F.lit(0)).alias("n_queries"))
 
 
 def auc(ranks: DataFrame) -> DataFrame:
-    """Area under the curve of (top_score, top_correct); 0.5 without positives or negatives. Equal scores are counted first."""
-    per = ranks.groupBy("top_score").agg(F.sum("top_correct").alias("p"), F.sum(1 - F.col("top_correct")).alias("n"))
+    """Area under the curve of (top_score, top_correct); 0.5 without positives or negatives. Equal scores are counted first, once, as they are read twice."""
+    n = queries_each(ranks)
+    per = durable(ranks.groupBy("top_score").agg(F.sum(F.col("top_correct") * n).alias("p"), F.sum((1 - F.col("top_correct")) * n).alias("n")))
     placed = before(per, F.floor(F.col("top_score") * 1024), ["top_score"], F.col("n"), "below")
     sums = placed.withColumn("wins", F.col("p") * (F.col("below") + F.col("n") / 2)).agg(F.sum("wins").alias("w"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     return sums.select(F.coalesce(F.col("w") / F.nullif(F.col("p") * F.col("n"), F.lit(0)), F.lit(0.5)).alias("auc"))
 
 
 def objective(ranks: DataFrame) -> DataFrame:
-    m = rank_metrics(ranks).crossJoin(auc(ranks))  # one row each
+    each = durable(ranks.groupBy("rank", "top_score", "top_correct").agg(F.count("*").alias("n")))  # else queries are ranked for each figure
+    m = rank_metrics(each).crossJoin(auc(each))  # one row each
     return m.select((1 - (0.4 * F.col("mrr") + 0.3 * F.col("rr1") + 0.3 * F.col("auc"))).alias("objective"))
 
 
