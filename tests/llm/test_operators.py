@@ -654,3 +654,16 @@ def test_lm_seating_odd():
     assert t[0] == 0 and t[1] == 1 and 1 <= t[2] and len(hpylm.seat([], [], 0.4, np.zeros(0, np.uint64))) == 0
     x = hpylm.gamma_draws(np.repeat([1.5, 400.0], 20000), hpylm.mixed(np.arange(40000, dtype=np.uint64)))
     assert x[:20000].mean() == pytest.approx(1.5, rel=0.03) and x[:20000].var() == pytest.approx(1.5, rel=0.08) and x[20000:].mean() == pytest.approx(400, rel=0.01)
+
+
+def test_quality_classes_skip_lower_case(spark):
+    """Classes are counted on what is left without a-z, and are those of the whole text."""
+    import re
+
+    text = "Ab1 é<zZ>, \t\n\x7f~ÀÉz_9|q" * 3
+    frame = spark.createDataFrame([(1, text, "en")], "doc_id long, text string, lang string")
+    rows = quality.features(frame, ["ab"])
+    row = rows.first()
+    assert list(row["classes"])[:-1] == [len(re.sub(c, "", text)) for c in quality.CLASSES]
+    assert row["n_symbols"] == len(re.sub("[^#*$%&|<>]+", "", text))
+    assert "[a-z]+" in rows._jdf.queryExecution().optimizedPlan().toString()
