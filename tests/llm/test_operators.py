@@ -640,6 +640,19 @@ def test_lm_seating(n, new, most):
             assert want == pytest.approx(expected_tables(n, new, d))
 
 
+def test_lm_chains_share_the_integral(monkeypatch):
+    """Cells of equal size take S(n, t) once, small ones no more terms than count, and no draw moves with the cells beside it."""
+    n, a, key = np.array([5000, 5000, 5000, 9, 700, 2048]), np.array([0.02, 0.021, 40.0, 0.3, 1e-5, 2.0]), hpylm.mixed(np.arange(6, dtype=np.uint64))
+    alone = [int(hpylm.seat(n[i : i + 1], a[i : i + 1], 0.7, key[i : i + 1])[0]) for i in range(6)]
+    calls, of = [], hpylm.stirling_far
+    monkeypatch.setattr(hpylm, "stirling_far", lambda *x: calls.append(x) or of(*x))
+    assert hpylm.seat(n, a, 0.7, key).tolist() == alone and len(calls) == 1
+    for i, size in ((3, 9), (4, 700), (5, 2048)):  # the whole law
+        law = hpylm.stirling(0.7)[size * (size - 1) // 2 : size * (size + 1) // 2] + np.log(a[i]) * np.arange(size)
+        upto = np.exp(law - law.max()).cumsum()
+        assert alone[i] == 1 + (upto < hpylm.uniform(key[i], np.uint64(1)) * upto[-1]).sum()
+
+
 @pytest.mark.parametrize("d", [0.05, 0.4, 0.8, 0.95])
 def test_lm_stirling_far(d):
     """The integral against the recursion, over the whole line."""

@@ -28,7 +28,7 @@ certain; repeated rows are scored each and, in training, counted each; a null id
 from __future__ import annotations
 
 from functools import lru_cache
-from math import ceil, sqrt
+from math import ceil, expm1, floor, log, sqrt
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import byte_list, discard, held_out, materialize, mixed, release
 
-CHUNK, CELLS, SPLIT, CHAINS, ROUNDS, SPAN, ROWS, NODES = 16 << 20, 1 << 20, 16, 3, 3, 1 << 20, 2048, 96
+CHUNK, CELLS, SPLIT, CHAINS, ROUNDS, SPAN, FEW, ROWS, NODES = 16 << 20, 1 << 20, 16, 3, 3, 1 << 20, 16, 2048, 96
 STRENGTH = 1.0
 TEXTS, LOCAL, SPELLED, KNOWN, COUNTS, ONES, ASK, ASKED, STATE, PART_U, PART_W, REPLY_U, REPLY_W, TOTAL, WORDS, ANSWER = range(16)
 MESSAGE = "kind int, src long, dst long, a binary, b binary, c binary, d binary, x double, y double"
@@ -99,6 +99,19 @@ def by_chain(rows: list[dict], name: str):
     return np.concatenate([grow(r[name]).reshape(CHAINS, -1) for r in rows], axis=1) if rows else np.zeros((CHAINS, 0), np.int64)
 
 
+def distinct(x):
+    """As np.unique with the inverse, without a sort where the numbers lie close."""
+    import numpy as np
+
+    low = int(x.min()) if len(x) else 0
+    span = int(x.max()) - low + 1 if len(x) else 0
+    if span > 4 * len(x):
+        return np.unique(x, return_inverse=True)
+    there = np.zeros(span, bool)
+    there[x - low] = True
+    return np.flatnonzero(there) + low, (there.cumsum() - 1)[x - low]
+
+
 # --- seating
 
 
@@ -141,27 +154,50 @@ def seat(n, a, discount: float, key):
 
     To sit at a table of size k weighs k - discount, to open a table weighs a; the first opens its own. So t tables have probability
     in proportion to S(n, t) a^(t - 1), where S are generalised Stirling numbers: one law for all sizes, and t is found by its
-    distribution function. Up to ROWS customers the numbers come from their recursion, for more from an integral. key: 64-bit numbers, one per cell; the draw depends on nothing else.
+    distribution function. Up to FEW customers its terms are powers of a, up to ROWS logarithms from the recursion of S, and terms
+    below e^-45 of the largest, which no double tells from none, are left out; for more they come from an integral, once for cells of
+    equal n. key: 64-bit numbers, one per cell; the draw depends on nothing else.
     """
     import numpy as np
 
     n = np.asarray(n, np.int64)
     out, d = (n > 0).astype(np.int64), max(discount, 1e-3)
     a, key = (np.broadcast_to(np.asarray(x, kind), out.shape) for x, kind in ((a, np.float64), (key, np.uint64)))
-    order = np.argsort(n, kind="stable")
-    lo, hi = np.searchsorted(n[order], [2, ROWS + 1])
+    order = np.flatnonzero(n > 1)
+    order = order[np.argsort(np.minimum(n[order], ROWS + 1).astype(np.uint16), kind="stable")]
+    sizes, a, u = n[order], a[order], uniform(key[order], np.uint64(1))
+    drawn, hi = np.ones(len(order), np.int64), int(np.searchsorted(sizes, ROWS, "right"))
     known, most = stirling(d), 1 << 20
-    for size in np.unique(n[order[lo:hi]]).tolist():
-        line, t = known[size * (size - 1) // 2 : size * (size + 1) // 2], np.arange(size)
-        first, last = np.searchsorted(n[order], [size, size + 1])
+    cuts = np.flatnonzero(np.diff(sizes[:hi], prepend=0)).tolist()
+    for lo, end in zip(cuts, [*cuts[1:], hi]):
+        size = int(sizes[lo])
+        line = known[size * (size - 1) // 2 : size * (size + 1) // 2]
+        if size <= FEW:
+            for i in range(lo, end, most // FEW):
+                own = slice(i, min(i + most // FEW, end))
+                power, upto = np.ones(own.stop - i), np.empty((size, own.stop - i))
+                for t, weight in enumerate(np.exp(line).tolist()):
+                    np.multiply(power, weight, out=upto[t])
+                    if t:
+                        upto[t] += upto[t - 1]
+                    power *= a[own]
+                drawn[own] += (upto < u[own] * upto[-1]).sum(0)
+            continue
         step = max(1, most // size)
-        for i in range(first, last, step):
-            at = order[i : min(i + step, last)]
-            law = line + np.log(a[at])[:, None] * t
+        for i in range(lo, end, step):
+            own, t = slice(i, min(i + step, end)), np.arange(size)
+            log = np.log(a[own])
+            least, top = line + log.min() * t, line + log.max() * t
+            first, last = int(np.argmax(least > least.max() - 45)), size - int(np.argmax(top[::-1] > top.max() - 45))
+            law = line[first:last] + log[:, None] * t[first:last]
             upto = np.exp(law - law.max(1, keepdims=True)).cumsum(1)
-            out[at] = 1 + (upto < (uniform(key[at], np.uint64(1)) * upto[:, -1])[:, None]).sum(1)
-    for i in order[hi:].tolist():
-        out[i] = draw_far(float(n[i]), float(a[i]), d, float(uniform(key[i : i + 1], np.uint64(1))[0]))
+            drawn[own] += first + (upto < (u[own] * upto[:, -1])[:, None]).sum(1)
+    far: dict[int, list[int]] = {}
+    for i in range(hi, len(order)):
+        far.setdefault(int(sizes[i]), []).append(i)
+    for size, own in far.items():
+        drawn[own] = draw_far(float(size), a[own], d, u[own])
+    out[order] = drawn
     return out
 
 
@@ -174,11 +210,15 @@ def stirling_far(n: float, t, d: float):
     """
     import numpy as np
 
-    rest = lambda q: np.where(q.real > 0.7, np.log1p(-np.exp(-np.where(q.real > 0.7, q, 1))), np.log(-np.expm1(-q)))  # noqa: E731 - log of 1 - x
+    def rest(q):
+        """log of 1 - x"""
+        far = q.real > 0.7
+        return np.where(far, np.log1p(-np.exp(-np.where(far, q, 1))), np.log(-np.expm1(-q))) if far.any() else np.log(-np.expm1(-q))
+
     power_of = lambda q: -np.expm1(d * rest(q))
     slope = lambda q: -t * d * np.exp(-q + (d - 1) * rest(q)) / power_of(q)
     low, high = np.full(len(t), -60.0), np.full(len(t), 4.0)
-    for _ in range(60):
+    for _ in range(30):  # the contour may lie a little off
         mid = (low + high) / 2
         more = -slope(np.exp(mid)) > n
         low, high = np.where(more, mid, low), np.where(more, high, mid)
@@ -194,30 +234,42 @@ def stirling_far(n: float, t, d: float):
     path = q[:, None] * (1 + 2 * u + np.where(whole_turn, 0, u * u))
     with np.errstate(over="ignore", invalid="ignore"):
         power = np.exp(n * path + t[:, None] * np.log(power_of(path)) - top[:, None])
-    power = power - np.where(near[:, None], np.exp(np.minimum((n * path).real - top[:, None], 600) + 1j * n * path.imag), 0)
+    if near.any():
+        power[near] -= np.exp(np.minimum((n * path[near]).real - top[near, None], 600) + 1j * n * path[near].imag)
     whole = (power * np.where(whole_turn, 1, 1 + u) * 1j).imag.sum(1) * 2 * q * wide / NODES / np.pi
     with np.errstate(divide="ignore", invalid="ignore"):
         return np.where(t < n, top + np.log(np.abs(whole)) - log_gamma(t + 1) - t * np.log(d), -log_gamma(n + 1))
 
 
-def draw_far(n: float, a: float, d: float, u: float) -> int:
-    """A cell's number of tables at the given level of its distribution function, which spans at most about the root of its mean."""
+def draw_far(n: float, a, d: float, u):
+    """Numbers of tables of cells of n customers at the given levels of their distribution functions, which span at most about the root of their means.
+
+    The integral is taken once for all cells, at places that are the same for all: whole numbers up to 160, then k^2 / 640, about 230 in a span.
+    """
     import numpy as np
 
-    low, high, level = 1e-12, 700 / (1 - d), np.log(n / a)
-    for _ in range(60):  # where the tilted sizes of a / d tables add up to n
-        z = (low + high) / 2
-        low, high = (z, high) if np.log(-np.expm1(-z)) + (1 - d) * z < level else (low, z)
-    about = 1 - a / d * np.expm1(-d * low)
-    first, last = max(1.0, np.floor(about - 9 * np.sqrt(about) - 9)), min(n, np.ceil(about + 9 * np.sqrt(about) + 18))
-    t = np.unique(np.floor(np.linspace(first, last, min(int(last - first) + 1, 161))))
-    law = stirling_far(n, t, d) + t * np.log(a)
-    law = np.exp(np.where(np.isnan(law), -np.inf, law) - np.nanmax(law))
-    if len(t) == last - first + 1:
-        upto = law.cumsum()
-        return int(t[np.searchsorted(upto, u * upto[-1])])
-    upto = np.concatenate([[0.0], ((law[1:] + law[:-1]) / 2 * np.diff(t)).cumsum()])
-    return int(np.rint(np.interp(u * upto[-1], upto, t)))
+    places = []
+    for x in a.tolist():
+        low, high, level = 1e-12, 700 / (1 - d), log(n / x)
+        for _ in range(60):  # where the tilted sizes of x / d tables add up to n
+            z = (low + high) / 2
+            low, high = (z, high) if log(-expm1(-z)) + (1 - d) * z < level else (low, z)
+        about = 1 - x / d * expm1(-d * low)
+        first, last = max(1.0, floor(about - 9 * sqrt(about) - 9)), min(n, ceil(about + 9 * sqrt(about) + 18))
+        wide = np.arange(max(320, floor(sqrt(640 * first))), ceil(sqrt(640 * last)) + 1, dtype=np.float64)
+        places.append(np.unique(np.minimum(n, np.concatenate([np.arange(first, min(last, 160) + 1), np.floor(wide * wide / 640)]))))
+    every = np.unique(np.concatenate(places))
+    plain, out = stirling_far(n, every, d), np.ones(len(a), np.int64)
+    for i, t in enumerate(places):
+        law = plain[np.searchsorted(every, t)] + t * log(a[i])
+        law = np.exp(np.where(np.isnan(law), -np.inf, law) - np.nanmax(law))
+        if len(t) == t[-1] - t[0] + 1:
+            upto = law.cumsum()
+            out[i] = t[np.searchsorted(upto, u[i] * upto[-1])]
+        else:
+            upto = np.concatenate([[0.0], ((law[1:] + law[:-1]) / 2 * np.diff(t)).cumsum()])
+            out[i] = np.rint(np.interp(u[i] * upto[-1], upto, t))
+    return out
 
 
 def gamma_draws(shape, key):
@@ -423,7 +475,7 @@ class Chunk:
         of_word = np.repeat([r["src"] // SPLIT for r in words], [len(grow(r["b"])) for r in words])
         kept = np.flatnonzero((self.count[self.u] > 0) & (self.count[self.w] > 0))
         bucket = of_word[self.u[kept]] * grid + of_word[self.w[kept]]
-        by = np.argsort(bucket, kind="stable")
+        by = np.argsort(bucket.astype(np.uint16) if grid < 256 else bucket, kind="stable")  # numpy sorts two bytes without comparing
         self.order, self.bucket = kept[by], bucket[by]
 
 
@@ -453,7 +505,7 @@ def parts(numbers: Numbers, bucket: int, u, w, t) -> list[tuple]:
 
     rows = []
     for kind, x in ((PART_U, u), (PART_W, w)):
-        own, at = np.unique(x, return_inverse=True)
+        own, at = distinct(x)
         sums = np.array([np.bincount(at, line, len(own)) for line in t]).astype(np.int64).reshape(CHAINS, -1)
         of = numbers.ranges(own)
         cuts = np.flatnonzero(np.diff(of, prepend=-1)).tolist()
@@ -548,8 +600,8 @@ def sample(numbers: Numbers, discount: float, up: Parent, seed: int, last: bool)
         u, w = numbers.pair(keys, bucket)
         tables, below, own = by_chain(rows[REPLY_U], "a"), by_chain(rows[REPLY_W], "a"), by_chain(rows[REPLY_W], "b")
         many = np.flatnonzero(n > 1)
-        us, at_u = np.unique(u, return_inverse=True)
-        at_u, at_w = at_u[many], np.unique(w, return_inverse=True)[1][many]
+        us, at_u = distinct(u)
+        at_u, at_w = at_u[many], distinct(w)[1][many]
         p = np.array([up.p(c, below[c, at_w], own[c, at_w], t[c, many]) for c in range(CHAINS)])
         weight = np.array([openings(x, discount, us, c, seed) for c, x in enumerate(tables)])[:, at_u]
         tickets = np.concatenate([keyed(u[many], w[many], c, seed) for c in range(CHAINS)])
