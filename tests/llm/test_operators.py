@@ -640,6 +640,19 @@ def test_lm_seating(n, new, most):
             assert want == pytest.approx(expected_tables(n, new, d))
 
 
+def test_release_waits_for_listeners(spark):
+    """Listeners that lag hold ended plans: without them, the JVM's collection leaves the files of the last shuffle."""
+    from unittest.mock import MagicMock
+
+    from tracelode.llm.common import release
+
+    fake = MagicMock()
+    release(fake)
+    calls = [x[0].split(".")[-1] for x in fake.mock_calls]
+    assert "waitUntilEmpty" in calls and calls.index("waitUntilEmpty") < calls.index("gc")
+    release(spark)
+
+
 def test_lm_chains_share_the_integral(monkeypatch):
     """Cells of equal size take S(n, t) once, small ones no more terms than count, and no draw moves with the cells beside it."""
     n, a, key = np.array([5000, 5000, 5000, 9, 700, 2048]), np.array([0.02, 0.021, 40.0, 0.3, 1e-5, 2.0]), hpylm.mixed(np.arange(6, dtype=np.uint64))

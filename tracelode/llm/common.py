@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import tempfile
 import uuid
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -62,9 +64,17 @@ def discard(*tables: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Have the driver drop what ended plans left: Spark removes the files of shuffles that nothing refers to once the JVM sees it."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Have the driver drop what ended plans left: Spark removes the files of shuffles that nothing refers to once the JVM sees it.
+
+    The event of a plan's end holds the plan until all listeners, an event log among them, have had it; they are waited for, but not
+    beyond half a minute.
+    """
+    bus = spark.sparkContext._jsc.sc().listenerBus()
+    for _ in range(2):
+        gc.collect()
+        with contextlib.suppress(Py4JJavaError):
+            bus.waitUntilEmpty(30_000)
+        spark.sparkContext._jvm.System.gc()
 
 
 def mixed(x):
